@@ -50,3 +50,31 @@ def settle(df: DataFrame) -> DataFrame:
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once for each application.
+
+    The driver's file server hands it out, so no path needs to exist on the
+    executors.
+    """
+    import io
+    import zipfile
+    from pathlib import Path
+
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for p in sorted(root.rglob("*")):
+            if p.is_file() and "__pycache__" not in p.parts:
+                z.write(p, p.relative_to(root.parent))
+    out = Path(tempfile.mkdtemp(prefix="mojiforge-")) / "mojiforge_package.zip"
+    out.write_bytes(data.getvalue())
+    context.addPyFile(str(out))
+    _shipped.add(context.applicationId)
