@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from mojiforge.llm.canonical import canonical_forms, same_look_pairs
 from mojiforge.llm.neardup import near_duplicate_pairs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,3 +27,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = near_duplicate_pairs(table(spark, sf_dir, "weixin_corpus"), "row_id", "content")
     return pairs.select(pairs.id_a.alias("row_id_a"), pairs.id_b.alias("row_id_b"))
+
+
+@query
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w, j = table(spark, sf_dir, "weixin_corpus"), table(spark, sf_dir, "json_data")
+    texts = (
+        w.select(F.lit("weixin_corpus.content").alias("field"), F.col("row_id").alias("id"), F.col("content").alias("text"))
+        .unionByName(j.select(F.lit("json_data.source").alias("field"), "id", F.col("source").alias("text")))
+        .unionByName(j.select(F.lit("json_data.target").alias("field"), "id", F.col("target").alias("text")))
+    )
+    pairs = same_look_pairs(canonical_forms(texts))
+    part = F.split("field", "[.]")
+    return pairs.select(part[0].alias("table_name"), part[1].alias("field_name"), "id_a", "id_b")
