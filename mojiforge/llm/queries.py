@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from mojiforge.llm.canonical import canonical_forms, same_look_pairs
 from mojiforge.llm.neardup import near_duplicate_pairs
+from mojiforge.llm.overlap import EVAL, TRAIN, cross_split_pairs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,3 +41,24 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = same_look_pairs(canonical_forms(texts))
     part = F.split("field", "[.]")
     return pairs.select(part[0].alias("table_name"), part[1].alias("field_name"), "id_a", "id_b")
+
+
+def _split_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    j = table(spark, sf_dir, "json_data")
+    side = F.when(F.col("split_name") == "train", TRAIN).when(F.col("split_name").isin("val", "test"), EVAL)
+    field = F.explode(F.array(F.struct(F.lit(0).alias("field"), F.col("source").alias("text")), F.struct(F.lit(1).alias("field"), F.col("target").alias("text"))))
+    return cross_split_pairs(j.select("id", side.alias("side"), field.alias("f")).select("id", "side", "f.field", "f.text"))
+
+
+@query
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _split_pairs(spark, sf_dir)
+    return pairs.select(F.least("eval_id", "train_id").alias("id_a"), F.greatest("eval_id", "train_id").alias("id_b")).where("id_a < id_b")
+
+
+@query
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of each val and test split and dataset, and how many of them occur in train."""
+    j = table(spark, sf_dir, "json_data").where(F.col("split_name").isin("val", "test")).select("id", "split_name", "dataset").distinct()
+    hit = _split_pairs(spark, sf_dir).select(F.col("eval_id").alias("id")).distinct().withColumn("hit", F.lit(1))
+    return j.join(hit, "id", "left").groupBy("split_name", "dataset").agg(F.count("*").alias("records"), F.count("hit").alias("overlapping"))
