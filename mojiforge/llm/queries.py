@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mojiforge.llm.canonical import canonical_forms, same_look_pairs
+from mojiforge.llm.mixing import mix_report, mix_sources
 from mojiforge.llm.neardup import near_duplicate_pairs
 from mojiforge.llm.overlap import EVAL, TRAIN, cross_split_pairs
+from mojiforge.llm.tokens import count_tokens, decode_ids, encode_texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,3 +64,35 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = table(spark, sf_dir, "json_data").where(F.col("split_name").isin("val", "test")).select("id", "split_name", "dataset").distinct()
     hit = _split_pairs(spark, sf_dir).select(F.col("eval_id").alias("id")).distinct().withColumn("hit", F.lit(1))
     return j.join(hit, "id", "left").groupBy("split_name", "dataset").agg(F.count("*").alias("records"), F.count("hit").alias("overlapping"))
+
+
+@query
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+@query
+def p7_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text put together from its ids again."""
+    return decode_ids(encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
+ORACLES["p7_decoded"] = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = count_tokens(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "account"], "text")
+    topics = table(spark, sf_dir, "accounts").select("account", F.col("category").alias("topic"))
+    return mix_sources(docs.join(topics, "account", "left"), table(spark, sf_dir, "mix_targets"))
+
+
+@query
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mix and how often each is used."""
+    return _mix(spark, sf_dir)
+
+
+@query
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of all tokens that each source was to have, and has."""
+    return mix_report(_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
