@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mojiforge.llm.canonical import canonical_forms, same_look_pairs
+from mojiforge.llm.chunking import LIMIT, cut_items, pieces_of
 from mojiforge.llm.mixing import mix_report, mix_sources
 from mojiforge.llm.neardup import near_duplicate_pairs
 from mojiforge.llm.overlap import EVAL, TRAIN, cross_split_pairs
+from mojiforge.llm.sentences import split_sentences
 from mojiforge.llm.tokens import count_tokens, decode_ids, encode_texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +47,30 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(part[0].alias("table_name"), part[1].alias("field_name"), "id_a", "id_b")
 
 
+@query
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = table(spark, sf_dir, "sentence_sample").select("row_id").distinct()
+    rows = table(spark, sf_dir, "weixin_corpus").select("row_id", "content").join(asked, "row_id", "left_semi")
+    return split_sentences(rows, "row_id", "content").select(F.col("id").alias("row_id"), F.explode("ends").alias("end_pos"))
+
+
+@query
+def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of sentences of every article."""
+    return split_sentences(table(spark, sf_dir, "weixin_corpus"), "row_id", "content").select(F.col("id").alias("row_id"), F.size("ends").alias("sentences"))
+
+
+@query
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = cut_items(table(spark, sf_dir, "weixin_corpus"), "row_id", "content")
+    return cut.where(F.col("longest") > LIMIT).select(F.col("id").alias("row_id"))
+
+
+@query
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces_of(table(spark, sf_dir, "weixin_corpus"), "row_id", "content").withColumnRenamed("id", "row_id")
+
+
 def _split_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = table(spark, sf_dir, "json_data")
     side = F.when(F.col("split_name") == "train", TRAIN).when(F.col("split_name").isin("val", "test"), EVAL)
