@@ -12,6 +12,7 @@ from mojiforge.llm.chunking import LIMIT, cut_items, pieces_of
 from mojiforge.llm.mixing import mix_report, mix_sources
 from mojiforge.llm.neardup import near_duplicate_pairs
 from mojiforge.llm.overlap import EVAL, TRAIN, cross_split_pairs
+from mojiforge.llm.quality import STATISTICS, not_prose
 from mojiforge.llm.sentences import split_sentences
 from mojiforge.llm.tokens import count_tokens, decode_ids, encode_texts
 
@@ -28,6 +29,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = [(r.lang, r.word) for r in table(spark, sf_dir, "common_words").where("lang is not null and word is not null").distinct().collect()]
+    return not_prose(table(spark, sf_dir, "weixin_corpus").select("row_id", "content"), "content", words)
+
+
+@query
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(spark, sf_dir).where("no_prose").select("row_id")
+
+
+@query
+def p1_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics of every article and whether it is prose; null where there is no text."""
+    return _judged(spark, sf_dir).select("row_id", *[F.col(f"q.{k}") for k in STATISTICS], "no_prose")
+
+
 @query
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = near_duplicate_pairs(table(spark, sf_dir, "weixin_corpus"), "row_id", "content")
