@@ -15,6 +15,7 @@ from mojiforge.llm.overlap import EVAL, TRAIN, cross_split_pairs
 from mojiforge.llm.quality import STATISTICS, not_prose
 from mojiforge.llm.sentences import split_sentences
 from mojiforge.llm.tokens import count_tokens, decode_ids, encode_texts
+from mojiforge.llm.truncation import cut_off, cut_report
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,9 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _words(spark: SparkSession, sf_dir: str) -> list[tuple[str, str]]:
+    return [(r.lang, r.word) for r in table(spark, sf_dir, "common_words").where("lang is not null and word is not null").distinct().collect()]
+
+
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = [(r.lang, r.word) for r in table(spark, sf_dir, "common_words").where("lang is not null and word is not null").distinct().collect()]
-    return not_prose(table(spark, sf_dir, "weixin_corpus").select("row_id", "content"), "content", words)
+    return not_prose(table(spark, sf_dir, "weixin_corpus").select("row_id", "content"), "content", _words(spark, sf_dir))
 
 
 @query
@@ -139,3 +143,15 @@ def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share of all tokens that each source was to have, and has."""
     return mix_report(_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+@query
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_off(table(spark, sf_dir, "documents"), "doc_id", "source", "text", _words(spark, sf_dir)).select(F.col("id").alias("doc_id"))
+
+
+@query
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents of each source were cut off."""
+    docs = table(spark, sf_dir, "documents")
+    return cut_report(docs, "doc_id", "source", cut_off(docs, "doc_id", "source", "text", _words(spark, sf_dir)))
