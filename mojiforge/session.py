@@ -48,7 +48,7 @@ def settle(df: DataFrame) -> DataFrame:
     loss of executors.
     """
     path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
