@@ -19,6 +19,7 @@ from mojiforge.llm.textforms import DROP, INVISIBLE, LOOK_ALIKES
 
 RULES = Path(__file__).with_name("quality_rules.json")
 MAX_WORDS = 10_000
+LOW_VARIETY = 0.66
 # Common words that lists of things hold as well, so that they say nothing about clauses.
 WEAK = frozenset(["的", "和", "里", "और", "の", "と", "und", "and", "of"])
 SPACED = frozenset(["en", "de", "hi"])
@@ -69,11 +70,13 @@ def statistics(df: DataFrame, text_col: str, words: list[tuple[str, str]]) -> Da
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + width(x))
     closing = r"[。.!?…।][”」』\")）\]]*\s*$"
     barred = r"\t|\|.*\||</t[dr]>|   "  # fields of a table
-    prose = lambda x: (x.rlike(clause) | x.rlike(closing)) & ~x.rlike(barred) & ~x.rlike(r"(.{2,40}?)\1{3,}")
+    # Only texts of few different characters can hold runs of repetition, which are dear to look for.
+    prose = lambda x: (x.rlike(clause) | x.rlike(closing)) & ~x.rlike(barred) & ~((F.col("__variety") < LOW_VARIETY) & x.rlike(r"(.{2,40}?)\1{3,}"))
     spaces = F.regexp_count(t, F.lit(r"(?U)\s")).cast("double")
     n_words = F.greatest(count(r"[\p{L}\p{M}\p{N}]+"), F.lit(1.0))
     n_lines = F.greatest(F.size(lines), F.lit(1)).cast("double")
-    rows = rows.withColumn("__lines", lines).withColumn("__n", n)
+    variety = F.log(F.greatest(F.size(F.array_distinct(F.split(t, ""))), F.lit(2)).cast("double")) / F.log(n + 2)
+    rows = rows.withColumn("__lines", lines).withColumn("__n", n).withColumn("__variety", variety)
     n = F.col("__n")
     values = {
         "n_chars": n,
@@ -91,11 +94,11 @@ def statistics(df: DataFrame, text_col: str, words: list[tuple[str, str]]) -> Da
         "ending_lines": F.size(F.filter("__lines", lambda x: x.rlike(closing))) / n_lines,
         "clause_share": total(F.filter("__lines", prose)) / n,
         "common_ratio": count(common) / n,
-        "variety": F.log(F.greatest(F.size(F.array_distinct(F.split(t, ""))), F.lit(2)).cast("double")) / F.log(n + 2),
+        "variety": F.col("__variety"),
         "marks_ratio": count(r"[。!?…।.][^\p{N}a-z]|[。.!?…।]$") / n,
     }
     q = F.struct(*[values[k].cast("double").alias(k) for k in STATISTICS])
-    return rows.withColumn("q", F.when(t.rlike(r"(?U)\S"), q)).drop("__t", "__lines", "__n")
+    return rows.withColumn("q", F.when(t.rlike(r"(?U)\S"), q)).drop("__t", "__lines", "__n", "__variety")
 
 
 # --- rules ---------------------------------------------------------------------------------------------------------------------------
