@@ -130,3 +130,27 @@ def compact(text: str | None) -> np.ndarray:
         return np.zeros(0, np.uint32)
     b = fold(points(text))
     return b[~spaces().take(b)]
+
+
+def compact_many(texts: list[str | None]) -> list[str]:
+    """``compact`` of every text, as strings; all texts that need no composition at once."""
+    kept = [i for i, t in enumerate(texts) if t]
+    out = [""] * len(texts)
+    if not kept:
+        return out
+    to, odd = tables()
+    a = points("".join([texts[i] for i in kept]))
+    lens = np.array([len(texts[i]) for i in kept], np.int64)
+    stops = np.cumsum(lens)
+    b = to.take(a)
+    keep = b != DROP
+    b[~keep] = 0
+    keep &= ~spaces().take(b)
+    size = np.concatenate([[0], np.cumsum(keep)])[stops]
+    strange = np.add.reduceat(odd.take(a).astype(np.int32), stops - lens) > 0
+    whole = unpoints(b[keep])
+    last = 0
+    for i, end, hard in zip(kept, size.tolist(), strange.tolist()):
+        out[i] = unpoints(compact(texts[i])) if hard else whole[last:end]
+        last = end
+    return out
