@@ -52,8 +52,15 @@ def plain(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(folded, r"\p{Cf}|[︀-️]", ""), r"\r\n?", "\n")
 
 
-def statistics(df: DataFrame, text_col: str, words: list[tuple[str, str]]) -> DataFrame:
-    """``df`` with a column ``q`` holding a struct of STATISTICS, all double; null for null, empty and blank texts.
+def _once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with columns that are computed once for each row, however often later expressions and filters use them."""
+    name = "__" + "_".join(columns)
+    made = rows.select("*", F.explode(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))).alias(name))
+    return made.select(*rows.columns, *[F.col(f"{name}.{k}").alias(k) for k in columns])
+
+
+def statistics(df: DataFrame, text_col: str, words: list[tuple[str, str]], names: tuple[str, ...] = STATISTICS) -> DataFrame:
+    """``df`` with a column ``q`` holding a struct of STATISTICS (or of those in ``names``), all double; null for null, empty and blank texts.
 
     Ratios are of the characters that aren't white space (``space_ratio``: of
     all).  ``clause_share``: those in lines with a clause-marking word or a
@@ -62,7 +69,7 @@ def statistics(df: DataFrame, text_col: str, words: list[tuple[str, str]]) -> Da
     """
     common, clause = word_patterns(words)
     t = F.col("__t")
-    rows = df.withColumn("__t", plain(F.col(text_col)))
+    rows = _once(df, __t=plain(F.col(text_col)))
     count = lambda p: F.regexp_count(t, F.lit(p)).cast("double")
     n = F.greatest(count(r"(?U)\S"), F.lit(1.0))
     lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.trim(x)) > 0)
@@ -76,7 +83,7 @@ def statistics(df: DataFrame, text_col: str, words: list[tuple[str, str]]) -> Da
     n_words = F.greatest(count(r"[\p{L}\p{M}\p{N}]+"), F.lit(1.0))
     n_lines = F.greatest(F.size(lines), F.lit(1)).cast("double")
     variety = F.log(F.greatest(F.size(F.array_distinct(F.split(t, ""))), F.lit(2)).cast("double")) / F.log(n + 2)
-    rows = rows.withColumn("__lines", lines).withColumn("__n", n).withColumn("__variety", variety)
+    rows = _once(rows, __lines=lines, __n=n, __variety=variety)
     n = F.col("__n")
     values = {
         "n_chars": n,
@@ -97,8 +104,8 @@ def statistics(df: DataFrame, text_col: str, words: list[tuple[str, str]]) -> Da
         "variety": F.col("__variety"),
         "marks_ratio": count(r"[。!?…।.][^\p{N}a-z]|[。.!?…।]$") / n,
     }
-    q = F.struct(*[values[k].cast("double").alias(k) for k in STATISTICS])
-    return rows.withColumn("q", F.when(t.rlike(r"(?U)\S"), q)).drop("__t", "__lines", "__n", "__variety")
+    q = F.struct(*[values[k].cast("double").alias(k) for k in names])
+    return _once(rows, q=F.when(t.rlike(r"(?U)\S"), q)).drop("__t", "__lines", "__n", "__variety")
 
 
 # --- rules ---------------------------------------------------------------------------------------------------------------------------
@@ -179,6 +186,11 @@ def load_rules(path: Path = RULES) -> list[list[list]]:
     return json.loads(path.read_text())["rules"]
 
 
-def not_prose(df: DataFrame, text_col: str, words: list[tuple[str, str]]) -> DataFrame:
-    """``statistics`` and a column ``no_prose``: whether the text is, by more than half, no natural prose; null for null and blank texts."""
-    return statistics(df, text_col, words).withColumn("no_prose", F.expr(verdict_sql(load_rules())))
+def not_prose(df: DataFrame, text_col: str, words: list[tuple[str, str]], names: tuple[str, ...] | None = None) -> DataFrame:
+    """``statistics`` and a column ``no_prose``: whether the text is, by more than half, no natural prose; null for null and blank texts.
+
+    Without ``names`` only the statistics that the rules ask for are computed.
+    """
+    rules = load_rules()
+    asked = tuple(k for k in STATISTICS if names is not None and k in names or any(k == c[0] for r in rules for c in r))
+    return statistics(df, text_col, words, asked).withColumn("no_prose", F.expr(verdict_sql(rules)))

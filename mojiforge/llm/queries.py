@@ -34,8 +34,8 @@ def _words(spark: SparkSession, sf_dir: str) -> list[tuple[str, str]]:
     return [(r.lang, r.word) for r in table(spark, sf_dir, "common_words").where("lang is not null and word is not null").distinct().collect()]
 
 
-def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return not_prose(table(spark, sf_dir, "weixin_corpus").select("row_id", "content"), "content", _words(spark, sf_dir))
+def _judged(spark: SparkSession, sf_dir: str, names: tuple[str, ...] | None = None) -> DataFrame:
+    return not_prose(table(spark, sf_dir, "weixin_corpus").select("row_id", "content"), "content", _words(spark, sf_dir), names)
 
 
 @query
@@ -46,7 +46,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p1_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The statistics of every article and whether it is prose; null where there is no text."""
-    return _judged(spark, sf_dir).select("row_id", *[F.col(f"q.{k}") for k in STATISTICS], "no_prose")
+    return _judged(spark, sf_dir, STATISTICS).select("row_id", *[F.col(f"q.{k}") for k in STATISTICS], "no_prose")
 
 
 @query
