@@ -2,10 +2,9 @@
 
 Texts are split into words by the vocabulary's pattern; a table of distinct
 words holds the ids of each word, encoded once; a text's ids are the ids of
-its words by position.  The table belongs to a task and is bounded: in the
-corpora at hand most words are whole clauses of Chinese that occur once, so a
-table shared by all tasks would move every word twice between machines to
-save almost nothing.
+its words by position.  The table belongs to a task and is bounded, so no word
+is moved: one table for all tasks would have every occurrence sent to its word
+and every word's ids back to its text, several times the input.
 """
 
 from __future__ import annotations
@@ -89,7 +88,7 @@ def _encoded(shared, count_only: bool):
                     out = pa.array(np.diff(np.array(ends, np.int64)))
                 else:
                     out = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32)))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], out], [*part.schema.names[:-1], "ids"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], out], [*part.schema.names[:-1], "__n" if count_only else "ids"])
 
     return run
 
@@ -107,8 +106,8 @@ def encode_texts(df: DataFrame, id_col: str, text_col: str, path: str | None = N
 def count_tokens(df: DataFrame, columns: list[str], text_col: str, path: str | None = None) -> DataFrame:
     """``columns`` and n_tokens (0 for null and empty texts) of every row."""
     rows = df.select(*columns, F.col(text_col).alias("__text"))
-    out = rows.mapInArrow(_encoded(share_vocabulary(df.sparkSession, path), True), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", ids long")
-    return out.withColumnRenamed("ids", "n_tokens")
+    out = rows.mapInArrow(_encoded(share_vocabulary(df.sparkSession, path), True), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", __n long")
+    return out.withColumnRenamed("__n", "n_tokens")
 
 
 def _decoded(shared):
