@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from mojiforge.llm.canonical import canonical_forms, same_look_pairs
 from mojiforge.llm.chunking import LIMIT, cut_items, pieces_of
 from mojiforge.llm.mixing import mix_report, mix_sources
-from mojiforge.llm.neardup import near_duplicate_pairs
+from mojiforge.llm.neardup import near_duplicate_classes, near_duplicate_pairs
 from mojiforge.llm.overlap import EVAL, TRAIN, cross_split_pairs
 from mojiforge.llm.quality import STATISTICS, not_prose
 from mojiforge.llm.sentences import split_sentences
 from mojiforge.llm.tokens import count_tokens, decode_ids, encode_texts
 from mojiforge.llm.truncation import cut_off, cut_report
+from mojiforge.session import settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,6 +56,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(pairs.id_a.alias("row_id_a"), pairs.id_b.alias("row_id_b"))
 
 
+@query
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each article with text, the class of its text, and to how many other classes that is linked."""
+    members, links = near_duplicate_classes(table(spark, sf_dir, "weixin_corpus"), "row_id", "content")
+    n = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
+    return members.join(n, "rep", "left").select(F.col("id").alias("row_id"), F.col("rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
 @query
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     w, j = table(spark, sf_dir, "weixin_corpus"), table(spark, sf_dir, "json_data")
@@ -129,6 +138,7 @@ ORACLES["p7_decoded"] = "SELECT doc_id, coalesce(text, '') AS text FROM document
 
 def _mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = count_tokens(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "account"], "text")
+    docs = settle(docs)  # counted once, used for the cells and for the sample
     topics = table(spark, sf_dir, "accounts").select("account", F.col("category").alias("topic"))
     return mix_sources(docs.join(topics, "account", "left"), table(spark, sf_dir, "mix_targets"))
 
