@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from mojiforge.functions.text import is_sentence_ok, multiset_ratio
 from mojiforge.operators.dictionaries import line_ids
@@ -83,3 +84,43 @@ def most_similar(left: DataFrame, right: DataFrame, top: int = 10, blocks: int =
     b = right.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     pairs = a.join(b, "__block").select("a_id", "b_id", F.round(multiset_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
     return pairs.orderBy(F.desc("ratio"), "a_id", "b_id").limit(top)
+
+
+def steps(rows: int, batch: int, nodes: int = 1) -> int:
+    """Training steps of an epoch: the batches, dealt to the nodes, each rounded up."""
+    return -(-(-(-rows // batch)) // nodes)
+
+
+def epoch_order(rows: DataFrame, key: str, seed: int, epoch: int, shards: int) -> DataFrame:
+    """``rows`` shuffled into ``shard`` and ``pos`` inside it, by a hash that changes with the epoch; the same for the same seed."""
+    h = F.md5(F.concat_ws("|", F.lit(str(seed + epoch)), F.col(key).cast("string")))
+    dealt = rows.withColumn("__h", h).withColumn("shard", F.pmod(F.conv(F.substring("__h", 1, 8), 16, 10).cast("long"), F.lit(shards)))
+    inside = Window.partitionBy("shard").orderBy("__h", key)
+    return dealt.withColumn("pos", (F.row_number().over(inside) - 1).cast("long")).drop("__h")
+
+
+def best_so_far(scores: list[float], patience: int) -> tuple[int, float]:
+    """(rounds done, best score): stops after ``patience`` rounds without a better score; a better one starts the count again."""
+    best, bad = float("-inf"), 0
+    for k, s in enumerate(scores, 1):
+        best, bad = (s, 0) if s > best else (best, bad + 1)
+        if bad >= patience:
+            return k, best
+    return len(scores), best
+
+
+# Kinds of error of the solution files.
+DELETED, WRONG, MISSING, SKIPPED = ("冗余", "语义重复"), ("别字",), ("缺失",), ("句式杂糅", "乱序")
+
+
+def solution_labels(solutions: DataFrame) -> DataFrame:
+    """(pid, loc, label) of ``solutions(pid, errors)``; texts with a kind that has no label are left out, unknown kinds fail."""
+    e = solutions.select("pid", F.explode("errors").alias("e")).select("pid", "e.*")
+    bad = e.where(F.col("typ").isin(*SKIPPED)).select("pid").distinct()
+    label = (
+        F.when(F.col("typ").isin(*DELETED), F.lit("$DELETE"))
+        .when(F.col("typ").isin(*WRONG), F.concat(F.lit("$REPLACE_"), "correct"))
+        .when(F.col("typ").isin(*MISSING), F.concat(F.lit("$APPEND_"), "correct"))
+        .otherwise(F.raise_error(F.concat(F.lit("unknown kind "), "typ")).cast("string"))
+    )
+    return e.join(bad, "pid", "left_anti").select("pid", "loc", label.alias("label"))

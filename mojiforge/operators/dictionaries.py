@@ -93,3 +93,23 @@ def line_ids(rows: DataFrame, order: list[str]) -> DataFrame:
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("__p", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__offset"))
     return numbered.join(F.broadcast(offsets), "__p").withColumn("line", F.col("__offset") + F.col("__n") - 1).drop("__p", "__n", "__size", "__offset")
+
+
+def sound_keys(words: DataFrame, word_col: str, readings: DataFrame, whole_words: bool) -> DataFrame:
+    """(word, key): the readings of a word's characters joined by _, by ``readings(char, sound)``; null where a
+    character has none, or for a whole word of one character."""
+    w = words.select(F.col(word_col).alias("word")).where("word is not null and word <> ''").distinct()
+    one = readings.groupBy("char").agg(F.min("sound").alias("sound"))
+    each = w.select("word", F.posexplode(F.split("word", "")).alias("pos", "char")).join(one, "char", "left")
+    key = each.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("pos", "sound"))).alias("x"))
+    known = ~F.exists("x", lambda s: s["sound"].isNull())
+    fits = known & (F.size("x") > 1) if whole_words else known
+    return key.select("word", F.when(fits, F.array_join(F.transform("x", lambda s: s["sound"]), "_")).alias("key"))
+
+
+def homophones(chars: DataFrame, char_col: str, readings: DataFrame) -> DataFrame:
+    """(char, others): the other characters that share a reading, in order."""
+    r = readings.select("char", "sound").distinct()
+    c = chars.select(F.col(char_col).alias("char")).distinct().join(r, "char")
+    pairs = c.join(r.withColumnRenamed("char", "other"), "sound").where("char <> other")
+    return pairs.groupBy("char").agg(F.array_sort(F.collect_set("other")).alias("others"))

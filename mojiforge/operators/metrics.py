@@ -97,3 +97,26 @@ def smoothed_loss(logits: Column, gold: Column, smoothing: float = 0.1) -> Colum
     log_p = F.transform(logits, lambda x: x - log_sum)
     mean = F.aggregate(log_p, F.lit(0.0), lambda s, x: s + x) / F.size(logits)
     return -(1 - smoothing) * F.get(log_p, gold) - smoothing * mean
+
+
+IGNORED = -100
+
+
+def mean_loss(rows: DataFrame, logits: Column, gold: Column, smoothing: float = 0.1) -> DataFrame:
+    """The mean smoothed loss over the places whose gold tag isn't IGNORED."""
+    kept = rows.where((gold != IGNORED) & gold.isNotNull())
+    return kept.agg(F.avg(smoothed_loss(logits, gold, smoothing)).alias("loss"))
+
+
+def tag_scores(rows: DataFrame, keep: int = 0) -> DataFrame:
+    """Character-level scores of ``rows(row, gold, pred)``, arrays of tag ids in which ``keep`` means no error; IGNORED places don't count."""
+    z = F.filter(F.arrays_zip(F.col("gold").alias("g"), F.col("pred").alias("p")), lambda x: x["g"] != IGNORED)
+    count = lambda f: F.coalesce(F.sum(F.size(F.filter(z, f))), F.lit(0)).cast("long")
+    sums = rows.agg(
+        count(lambda x: x["g"] != keep).alias("ref"), count(lambda x: x["p"] != keep).alias("pred"),
+        count(lambda x: (x["g"] != keep) & (x["p"] != keep)).alias("detect"), count(lambda x: (x["g"] != keep) & (x["p"] == x["g"])).alias("correct"),
+    )
+    for kind in ("detect", "correct"):
+        sums = sums.withColumn(f"{kind}_p", F.round(ratio(F.col(kind), F.col("pred")), 4)).withColumn(f"{kind}_r", F.round(ratio(F.col(kind), F.col("ref")), 4))
+        sums = sums.withColumn(f"{kind}_f1", f1(F.col(f"{kind}_p"), F.col(f"{kind}_r")))
+    return sums

@@ -106,3 +106,33 @@ def character_ids(rows: DataFrame, key: str, text_col: str, vocabulary: DataFram
 def sentinel(source: Column, sign: str, max_len: int) -> Column:
     """A text with the start sign before it, cut to what fits between the special tokens."""
     return F.substring(F.concat(F.lit(sign), source), 1, max_len - 2)
+
+
+def with_special(a: Column, b: Column | None, start: int, end: int) -> Column:
+    """Ids with special ones: start a end, or start a end b end."""
+    one = F.concat(F.array(F.lit(start)), a, F.array(F.lit(end)))
+    return one if b is None else F.concat(one, b, F.array(F.lit(end)))
+
+
+def special_mask(a: Column, b: Column | None = None) -> Column:
+    """1 at the special places of ``with_special``."""
+    zeros = lambda x: F.array_repeat(F.lit(0), F.size(x))
+    one = F.concat(F.array(F.lit(1)), zeros(a), F.array(F.lit(1)))
+    return one if b is None else F.concat(one, zeros(b), F.array(F.lit(1)))
+
+
+def token_types(a: Column, b: Column | None = None) -> Column:
+    """0 for the first text and its special places, 1 for the second."""
+    one = F.array_repeat(F.lit(0), F.size(a) + 2)
+    return one if b is None else F.concat(one, F.array_repeat(F.lit(1), F.size(b) + 1))
+
+
+def pieces_to_text(tokens: Column) -> Column:
+    """Word pieces joined: later pieces follow without a blank."""
+    return F.replace(F.array_join(tokens, " "), F.lit(" ##"), F.lit(""))
+
+
+def spaced(rows: DataFrame, key: str, text_col: str, vocabulary: frozenset[str]) -> DataFrame:
+    """(key, text): tokens of the dictionary match joined by blanks."""
+    out = tokens_with(lambda t: max_match(t, vocabulary), rows, key, text_col)
+    return out.select(key, F.array_join("tokens", " ").alias("text"))

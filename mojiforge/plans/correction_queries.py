@@ -407,3 +407,57 @@ def char_pair_similarity(spark, d):
 def trad_simp(spark, d):
     t = spark.createDataFrame([("館", "馆"), ("見", "见"), ("並", "并")], "source string, target string")
     return conversion.convert(table(spark, d, "json_data").where("source is not null").select("id", "source").distinct(), "id", "source", t)
+
+
+# --- the rest of the inventory --------------------------------------------------------------------------------------------------------
+
+READINGS = "readings AS (SELECT DISTINCT unnest(chars) AS char, 'g' || gid AS sound FROM confusion_groups)"
+
+
+def _readings(spark, d):
+    """Groups of confusable characters stand in for readings."""
+    return table(spark, d, "confusion_groups").select(F.explode("chars").alias("char"), F.concat(F.lit("g"), F.col("gid").cast("string")).alias("sound")).distinct()
+
+
+@query("homophones_by_char", f"WITH {READINGS} SELECT a.char, array_to_string(list_sort(list_distinct(list(b.char))), ' ') AS others FROM readings a JOIN readings b ON a.sound = b.sound AND a.char <> b.char GROUP BY a.char")
+def homophones_by_char(spark, d):
+    r = _readings(spark, d)
+    return D.homophones(r, "char", r).withColumn("others", F.array_join("others", " "))
+
+
+@query("sound_keys", f"WITH {READINGS}, one AS (SELECT char, min(sound) AS sound FROM readings GROUP BY char), w AS (SELECT DISTINCT left_text AS word FROM correction_templates WHERE length(left_text) > 0), e AS (SELECT word, i, sound FROM (SELECT word, unnest(range(length(word))) AS i FROM w) LEFT JOIN one ON char = word[i + 1]) SELECT word, CASE WHEN count(*) = count(sound) THEN string_agg(sound, '_' ORDER BY i) END AS key FROM e GROUP BY word")
+def sound_keys(spark, d):
+    return D.sound_keys(table(spark, d, "correction_templates"), "left_text", _readings(spark, d), False)
+
+
+@query("epoch_order", "SELECT pair_id, shard, row_number() OVER (PARTITION BY shard ORDER BY h, pair_id) - 1 AS pos FROM (SELECT pair_id, h, ('0x' || substr(h, 1, 8))::BIGINT % 8 AS shard FROM (SELECT pair_id, md5('9|' || pair_id::VARCHAR) AS h FROM augmented_pairs))")
+def epoch_order(spark, d):
+    return datasets.epoch_order(table(spark, d, "augmented_pairs").select("pair_id"), "pair_id", 7, 2, 8)
+
+
+@query("steps_per_epoch", "SELECT ceil(ceil(count(*) / 72) / 7)::BIGINT AS steps FROM augmented_pairs")
+def steps_per_epoch(spark, d):
+    n = table(spark, d, "augmented_pairs").count()
+    return spark.createDataFrame([(datasets.steps(n, 72, 7),)], "steps long")
+
+
+@query("masked_loss", f"WITH {LOGITS} SELECT round(avg(-0.9 * ln(p[label + 1]) - 0.1 * list_avg(list_transform(p, lambda v: ln(v)))), 5) AS loss FROM p WHERE vec_id % 4 <> 0")
+def masked_loss(spark, d):
+    gold = F.when(F.col("vec_id") % 4 == 0, metrics.IGNORED).otherwise(F.col("label"))
+    rows = _logits(spark, d).withColumn("gold", gold)
+    return metrics.mean_loss(rows, F.col("x"), F.col("gold")).select(F.round("loss", 5).alias("loss"))
+
+
+@query("special_ids", "SELECT gid, array_to_string(list_concat([101], list_transform(range(len(chars)), lambda x: x), [102]), ' ') AS ids, len(chars)::BIGINT + 2 AS types FROM confusion_groups")
+def special_ids(spark, d):
+    a = F.transform("chars", lambda c, i: i)
+    ids = segment.with_special(a, None, 101, 102)
+    return table(spark, d, "confusion_groups").select("gid", F.array_join(F.transform(ids, lambda x: x.cast("string")), " ").alias("ids"), F.size(segment.token_types(a)).cast("long").alias("types"))
+
+
+@query("solution_labels", "SELECT template_id::VARCHAR AS pid, '1' AS loc, CASE WHEN left_text = right_text THEN '$DELETE' ELSE '$REPLACE_' || right_text END AS label FROM correction_templates WHERE left_text IS NOT NULL AND right_text IS NOT NULL")
+def solution_labels(spark, d):
+    t = table(spark, d, "correction_templates").where("left_text is not null and right_text is not null")
+    kind = F.when(F.col("left_text") == F.col("right_text"), "冗余").otherwise("别字")
+    e = F.struct(F.lit("1").alias("loc"), kind.alias("typ"), F.col("left_text").alias("wrong"), F.col("right_text").alias("correct"))
+    return datasets.solution_labels(t.select(F.col("template_id").cast("string").alias("pid"), F.array(e).alias("errors")))

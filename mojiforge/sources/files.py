@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mojiforge.functions.text import strip
+from mojiforge.functions.text import remove_illegal, strip
 from mojiforge.operators.dictionaries import line_ids
 
 PAIR = "id long, source string, target string, type string"
@@ -146,3 +146,72 @@ def prediction_blocks(rows: DataFrame) -> DataFrame:
     """(id, is_correct, block): the report text of each prediction."""
     block = F.format_string("%s\nsrc: %s\ntgt: %s\npre: %s\n%s\n\n", F.col("id").cast("string"), "source", "target", "pred", "type")
     return rows.select("id", (F.col("target") == F.col("pred")).alias("is_correct"), block.alias("block"))
+
+
+def read_token_pairs(spark: SparkSession, path: str, keep_id: bool = False) -> DataFrame:
+    """([id,] source, target) of JSON lines whose source is a list of tokens and whose key is ID; cleaned, blank ones dropped."""
+    rows = spark.read.schema("ID string, source array<string>, target string").json(path)
+    out = rows.select(F.col("ID").alias("id"), remove_illegal(F.array_join("source", "")).alias("source"), remove_illegal(F.col("target")).alias("target"))
+    out = out.where("source <> '' and target <> ''")
+    return out if keep_id else out.drop("id")
+
+
+def read_dictionary(spark: SparkSession, path: str, value: str = "long") -> DataFrame:
+    """(key, value) of a JSON object in one file."""
+    text = spark.read.option("wholetext", True).text(path)
+    return text.select(F.explode(F.from_json("value", f"map<string,{value}>")))
+
+
+def read_confusion_sets(spark: SparkSession, synonyms: str, word_sounds: str, shapes: str, char_sounds: str) -> dict[str, DataFrame]:
+    """The four candidate tables: (gid, words) of the two-level sets, (key, tokens) of the sound buckets."""
+    two = lambda p: spark.read.option("wholetext", True).text(p).select(F.explode(F.from_json("value", "index_val map<string,array<string>>")["index_val"])).select(F.col("key").cast("long").alias("gid"), F.col("value").alias("words"))
+    one = lambda p: read_dictionary(spark, p, "array<string>").select("key", F.col("value").alias("tokens"))
+    return {"synonyms": two(synonyms), "word_homoPY": one(word_sounds), "simChar": two(shapes), "char_homoPY": one(char_sounds)}
+
+
+def read_character_meta(spark: SparkSession, path: str) -> DataFrame:
+    """(char, shapes, sounds) of tab-separated lines: code point, character, readings (; by language, , inside), decompositions. A character listed twice fails."""
+    part = F.split("value", "\t", -1)
+    sounds = F.transform(F.split(F.get(part, F.lit(2)), ";", -1), lambda x: F.filter(F.split(x, ","), lambda y: (y != "") & (y != "null")))
+    rows = spark.read.text(path).where("value <> ''").select(part[1].alias("char"), F.slice(part, F.lit(4), F.greatest(F.size(part) - 3, F.lit(0))).alias("shapes"), sounds.alias("sounds"))
+    once = rows.groupBy("char").agg(F.first("shapes").alias("shapes"), F.first("sounds").alias("sounds"), F.count("*").alias("n"))
+    return once.select(F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("listed twice: "), "char")).cast("string")).otherwise(F.col("char")).alias("char"), "shapes", "sounds")
+
+
+def read_character_frequencies(spark: SparkSession, path: str) -> DataFrame:
+    """(char, freq); the frequency stays text."""
+    part = F.split(strip(F.col("value")), r"\s+")
+    return spark.read.text(path).where(F.length(strip(F.col("value"))) > 0).select(part[0].alias("char"), F.get(part, F.lit(1)).alias("freq"))
+
+
+def list_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, length) of all files below a folder; contents aren't read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
+
+
+def parse_gold(lines: DataFrame) -> DataFrame:
+    """(line, tokens) of the sentence lines "S token token" of numbered lines."""
+    return lines.where(F.startswith("value", F.lit("S "))).select("line", F.split(F.substring("value", 3, 1 << 30), " ").alias("tokens"))
+
+
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
+    """(pid, text) of tab-separated lines that start with pid."""
+    part = F.split("value", "\t", -1)
+    return spark.read.text(path).where(F.startswith("value", F.lit("pid"))).select(part[0].alias("pid"), F.get(part, F.lit(1)).alias("text"))
+
+
+def write_vocabulary(vocabulary: DataFrame, path: str) -> bool:
+    """Writes ``vocabulary(id, token)`` in order of ids, one token a line; False where ids have gaps."""
+    write_lines(vocabulary, path, "token", ["id"])
+    r = vocabulary.agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).first()
+    return r.n == 0 or r.low == 0 and r.high == r.n - 1
+
+
+def write_metrics(scores: DataFrame, path: str) -> None:
+    """One row of scores as a JSON object; written again, it replaces the file."""
+    scores.coalesce(1).write.mode("overwrite").json(path)
+
+
+def decode_bytes(c):
+    """Bytes as UTF-8 text without what isn't valid."""
+    return F.replace(F.decode(c, "UTF-8"), F.lit("�"), F.lit(""))
