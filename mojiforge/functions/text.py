@@ -15,6 +15,11 @@ TOKEN_SEPARATORS = ("SEPL|||SEPR", "SEPL__SEPR", "SEPL---SEPR")
 ILLEGAL = rf"\s+|[^{KEPT}]+|^[{LEADING}]+"
 
 
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it inside lambdas."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def half_width(c: Column) -> Column:
     """Full-width ASCII and the ideographic space to half width."""
     return F.translate(c, FULL_WIDTH, HALF_WIDTH)
@@ -63,10 +68,8 @@ def quoted(c: Column) -> Column:
 
 def dominant_mark(c: Column) -> Column:
     """The most frequent run of sentence marks, of equals the first; null where there is none."""
-    runs = F.regexp_extract_all(c, F.lit(SENTENCE_MARKS), 0)
-    kinds = F.array_distinct(runs)
-    counted = F.transform(kinds, lambda x, i: F.struct(F.size(F.filter(runs, lambda y: y == x)).alias("n"), (-i).alias("first"), x.alias("mark")))
-    return F.array_max(counted)["mark"]
+    count = lambda runs: F.array_max(F.transform(F.array_distinct(runs), lambda x, i: F.struct(F.size(F.filter(runs, lambda y: y == x)).alias("n"), (-i).alias("first"), x.alias("mark"))))["mark"]
+    return let(F.regexp_extract_all(c, F.lit(SENTENCE_MARKS), 0), count)
 
 
 def split_dominant(c: Column, min_len: int | None = None) -> Column:
@@ -74,17 +77,19 @@ def split_dominant(c: Column, min_len: int | None = None) -> Column:
 
     With ``min_len`` pieces that aren't ok without the mark are dropped.
     """
-    mark = dominant_mark(c)
-    pieces = F.split(c, quoted(mark), -1)
-    if min_len is not None:
-        pieces = F.filter(pieces, lambda x: is_sentence_ok(x, min_len))
-    return F.when(c.isNull(), None).when(mark.isNull(), F.array(c)).otherwise(F.transform(pieces, lambda x: F.concat(x, mark)))
+    def cut(mark: Column) -> Column:
+        pieces = F.split(c, quoted(mark), -1)
+        if min_len is not None:
+            pieces = F.filter(pieces, lambda x: is_sentence_ok(x, min_len))
+        return F.when(mark.isNull(), F.array(c)).otherwise(F.transform(pieces, lambda x: F.concat(x, mark)))
+
+    return F.when(c.isNotNull(), let(dominant_mark(c), cut))
 
 
 def segment(c: Column, max_len: int = 128, min_len: int = 10) -> Column:
     """A raw text's sentences: half width, cleaned, cut at full stops where too long, filtered, cut again at the dominant mark."""
-    clean = remove_illegal(half_width(c))
-    stops = F.when(F.char_length(clean) > max_len, F.transform(F.split(clean, "。", -1), lambda x: F.concat(x, F.lit("。")))).otherwise(F.array(clean))
+    cut = lambda clean: F.when(F.char_length(clean) > max_len, F.transform(F.split(clean, "。", -1), lambda x: F.concat(x, F.lit("。")))).otherwise(F.array(clean))
+    stops = let(remove_illegal(half_width(c)), cut)
     good = F.filter(stops, lambda x: is_sentence_ok(x, min_len))
     return F.flatten(F.transform(good, lambda x: F.when(F.char_length(x) > max_len, split_dominant(x, min_len)).otherwise(F.array(x))))
 
@@ -96,7 +101,7 @@ def split_tokens(c: Column) -> Column:
 
 def drop_repeated(tokens: Column) -> Column:
     """Without tokens equal to the one before."""
-    return F.filter(tokens, lambda x, i: (i == 0) | (x != F.get(tokens, i - 1)))
+    return let(tokens, lambda t: F.filter(t, lambda x, i: (i == 0) | (x != F.get(t, i - 1))))
 
 
 def normalize(c: Column) -> Column:
@@ -109,8 +114,8 @@ def normalize(c: Column) -> Column:
 
 def chunks(tokens: Column, size: int = 10) -> Column:
     """Consecutive groups of ``size`` tokens; a short list is one group."""
-    n = F.greatest(F.ceil(F.size(tokens) / size), F.lit(1)).cast("int")
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(tokens, i * size + 1, F.lit(size)))
+    number = lambda t: F.greatest(F.ceil(F.size(t) / size), F.lit(1)).cast("int")
+    return let(tokens, lambda t: F.transform(F.sequence(F.lit(0), number(t) - 1), lambda i: F.slice(t, i * size + 1, F.lit(size))))
 
 
 def padded(number: Column, width: int | Column) -> Column:
@@ -179,8 +184,11 @@ def decode_tagged(line: Column) -> Column:
 
 def multiset_ratio(a: Column, b: Column) -> Column:
     """Twice the common characters, counted with repetition, over all characters; 1 for two empty texts."""
-    ca, cb = chars(a), chars(b)
-    common = F.aggregate(F.array_distinct(ca), F.lit(0), lambda s, x: s + F.least(F.size(F.filter(ca, lambda y: y == x)), F.size(F.filter(cb, lambda y: y == x))))
+    def shared(z: Column) -> Column:
+        times = lambda side, x: F.size(F.filter(z[side], lambda y: y == x))
+        return F.aggregate(F.array_distinct(z["a"]), F.lit(0), lambda s, x: s + F.least(times("a", x), times("b", x)))
+
+    common = let(F.struct(chars(a).alias("a"), chars(b).alias("b")), shared)
     n = F.char_length(a) + F.char_length(b)
     return F.when(n == 0, F.lit(1.0)).otherwise(2.0 * common / n)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mojiforge.functions.text import chars
+from mojiforge.functions.text import chars, let
 from mojiforge.operators.align import edits
 
 
@@ -92,11 +92,10 @@ def final_scores(rows: DataFrame) -> DataFrame:
 
 def smoothed_loss(logits: Column, gold: Column, smoothing: float = 0.1) -> Column:
     """Label-smoothing cross entropy of one position: (1 - s) of the gold class, s spread over all."""
-    top = F.array_max(logits)
-    log_sum = F.log(F.aggregate(logits, F.lit(0.0), lambda s, x: s + F.exp(x - top))) + top
-    log_p = F.transform(logits, lambda x: x - log_sum)
-    mean = F.aggregate(log_p, F.lit(0.0), lambda s, x: s + x) / F.size(logits)
-    return -(1 - smoothing) * F.get(log_p, gold) - smoothing * mean
+    log_sum = lambda z: F.log(F.aggregate(z["x"], F.lit(0.0), lambda s, x: s + F.exp(x - z["m"]))) + z["m"]
+    total = F.aggregate(logits, F.lit(0.0), lambda s, x: s + x) / F.size(logits)
+    norm = let(F.struct(logits.alias("x"), F.array_max(logits).alias("m")), log_sum)
+    return -(1 - smoothing) * (F.get(logits, gold) - norm) - smoothing * (total - norm)
 
 
 IGNORED = -100

@@ -8,11 +8,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mojiforge.functions.text import let
+
 
 def softmax(logits: Column) -> Column:
-    top = F.array_max(logits)
-    e = F.transform(logits, lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
+    total = lambda e: F.aggregate(e, F.lit(0.0), lambda s, y: s + y)
+    shares = lambda e: let(F.struct(e.alias("e"), total(e).alias("t")), lambda z: F.transform(z["e"], lambda x: x / z["t"]))
+    powers = lambda z: F.transform(z["x"], lambda x: F.exp(x - z["m"]))
+    return let(F.struct(logits.alias("x"), F.array_max(logits).alias("m")), lambda z: let(powers(z), shares))
 
 
 def top_labels(probabilities: Column, k: int) -> Column:
