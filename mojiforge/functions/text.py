@@ -184,11 +184,11 @@ def decode_tagged(line: Column) -> Column:
 
 def multiset_ratio(a: Column, b: Column) -> Column:
     """Twice the common characters, counted with repetition, over all characters; 1 for two empty texts."""
-    def shared(z: Column) -> Column:
-        times = lambda side, x: F.size(F.filter(z[side], lambda y: y == x))
-        return F.aggregate(F.array_distinct(z["a"]), F.lit(0), lambda s, x: s + F.least(times("a", x), times("b", x)))
+    def shared(distinct: Column) -> Column:
+        times = lambda side, x: F.char_length(side) - F.char_length(F.replace(side, x, F.lit("")))
+        return F.aggregate(distinct, F.lit(0), lambda s, x: s + F.least(times(a, x), times(b, x)))
 
-    common = let(F.struct(chars(a).alias("a"), chars(b).alias("b")), shared)
+    common = let(F.array_distinct(chars(a)), shared)
     n = F.char_length(a) + F.char_length(b)
     return F.when(n == 0, F.lit(1.0)).otherwise(2.0 * common / n)
 
