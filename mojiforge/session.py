@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -27,6 +28,9 @@ def local_session(cpus: int = 8, partitions: int | None = None) -> SparkSession:
     return spark
 
 
+_written: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A fresh path in the folder that all executors share.
 
@@ -38,7 +42,22 @@ def shared_folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder shared by the executors")
         root = "file://" + os.path.join(tempfile.gettempdir(), "mojiforge-shared")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_clean, spark)
+    _written.append(path)
+    return path
+
+
+def _clean(spark: SparkSession) -> None:
+    """Deletes this driver's intermediate tables when it ends."""
+    try:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for p in _written:
+            path = jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(conf).delete(path, True)
+    except Exception:  # the session has ended before; the folder's owner cleans up
+        pass
 
 
 def settle(df: DataFrame) -> DataFrame:
