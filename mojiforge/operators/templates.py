@@ -22,11 +22,12 @@ def patterns_of(templates: DataFrame) -> DataFrame:
 
 
 def collect_patterns(templates: DataFrame) -> list[tuple[str, str, str]]:
-    """The patterns, longest first, of equals in order of their texts; refuses more than MAX_PATTERNS."""
+    """The patterns, longest first, of equals in order of their texts, of one pair the highest action first; refuses more than MAX_PATTERNS."""
     rows = patterns_of(templates).limit(MAX_PATTERNS + 1).collect()
     if len(rows) > MAX_PATTERNS:
         raise ValueError("too many templates")
-    return sorted(((r.left_text, r.right_text, r.action_code) for r in rows), key=lambda p: (-len(p[0]) - len(p[1]), *p))
+    by_action = sorted(((r.left_text, r.right_text, r.action_code) for r in rows), key=lambda p: p[2], reverse=True)
+    return sorted(by_action, key=lambda p: (-len(p[0]) - len(p[1]), p[0], p[1]))
 
 
 def fixed_span(span: str, left: str, right: str, action: str) -> str:

@@ -66,6 +66,8 @@ def test_templates(spark):
     rows = spark.createDataFrame([(1, "约三天左右"), (2, "约三天，左右"), (3, None), (4, "")], "id long, text string")
     got = {r.id: (r.corrected, r.fixes) for r in templates.correct(rows, "id", "text", t).collect()}
     assert got == {1: ("约三天", 1), 2: ("约三天，左右", 0), 3: (None, 0), 4: ("", 0)}
+    tie = spark.createDataFrame([("开始", "着手", "1"), ("着手", "开始", "3")], t.schema)
+    assert templates.correct(spark.createDataFrame([(1, "开始着手工作")], "id long, text string"), "id", "text", tie).first().corrected == "开始工作"
     assert templates.fix_counts(templates.correct(rows, "id", "text", t)).first() == (1, 1)
 
 
