@@ -76,6 +76,24 @@ def test_cross_split(spark):
     assert overlap.cross_split_pairs(df.limit(0)).count() == 0
 
 
+def test_cross_split_hot_text(spark):
+    rng = random.Random(3)
+    signs = [chr(0x4E00 + i) for i in range(300)]
+    rows = [(i, 0, 0, "".join(rng.choice(signs) for _ in range(40))) for i in range(300)]
+    hot, tail = "园丁把花盆送到了河边图书馆", "木匠在车站检查了雨伞"
+    rows += [(1000 + i, 0, 0, hot) for i in range(200)]
+    rows += [(2000 + i, 0, 0, "".join(rng.choice(signs) for _ in range(6)) + tail) for i in range(40)]
+    evals = [(5000, 1, 0, hot), (5001, 1, 0, hot.replace("河", "湖")), (5002, 1, 0, rows[500][3]), (5003, 1, 0, "错别" + rows[501][3][2:]), (5004, 1, 1, hot)]
+    df = spark.createDataFrame(rows + evals, "id long, side int, field int, text string")
+    got = {tuple(r) for r in overlap.cross_split_pairs(df).collect()}
+    want = set()
+    for a in evals:
+        for b in rows:
+            if a[2] == b[2] and overlap.dice(overlap.pair_counts(a[3]), overlap.pair_counts(b[3])) >= 0.6:
+                want.add((a[0], b[0]))
+    assert got == want
+
+
 def test_tokens(spark):
     from tokenizers import Tokenizer
 
