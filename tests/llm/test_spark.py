@@ -94,6 +94,15 @@ def test_cross_split_hot_text(spark):
     assert got == want
 
 
+def test_cross_split_without_whole_segment(spark):
+    rng = random.Random(3)
+    signs = [chr(0x4E00 + i) for i in range(300)]
+    rows = [(i, 0, 0, "".join(rng.choice(signs) for _ in range(40))) for i in range(300)]
+    rows += [(1000, 0, 0, "哈" * 30), (2000, 1, 0, "哈" * 29 + "呵"), (2001, 1, 0, "哈" * 25), (2002, 1, 0, "哈" * 20 + "呵" * 40)]
+    df = spark.createDataFrame(rows, "id long, side int, field int, text string")
+    assert {tuple(r) for r in overlap.cross_split_pairs(df).collect()} == {(2000, 1000), (2001, 1000)}
+
+
 def test_tokens(spark):
     from tokenizers import Tokenizer
 
