@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from mojiforge.operators import align, augment, conversion, datasets, metrics, segment, similarity, tagging, templates
 from mojiforge.operators import dictionaries as D
+from mojiforge.plans import catalogue, correction_queries  # noqa: F401  (registers its queries)
 from mojiforge.sources import files
 
 
@@ -178,3 +179,14 @@ def test_entry_without_training_operators():
     import __spark_entry__ as e
 
     assert "eval_scores" in e.queries() and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_levels_of_all_pairs(spark, tmp_path):
+    rows = [
+        (1, "我爱Apple。", "我爱apple。", "我爱apple。"), (2, "用wifi上网", "用WIFI上网", "用WIFI上网"), (3, "他 们好", "他们好", "他们好"), (4, "他们好", "他 们好", "他 们好"),
+        (5, "a-b c", "ab c", "ab c"), (6, "甲乙", "甲x y乙", "甲xy乙"), (7, "我爱你", "我爱她", "我爱她"), (8, "", "甲", None), (9, None, "甲", None),
+    ]
+    df = spark.createDataFrame([(i, a, b, None, "x", i) for i, a, b, _ in rows], "id long, source string, target string, type string, dataset string, loaded_at long")
+    df.write.parquet(str(tmp_path / "json_data.parquet"))
+    got = {r.id: r.made for r in catalogue.QUERIES["apply_levels_all"](spark, str(tmp_path)).collect()}
+    assert got == {i: made for i, _, _, made in rows if made}
