@@ -5,13 +5,14 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mojiforge.functions.text import chars
-
 MAX_WORD = 100
+ROWS_AT_ONCE = 500
 
 
 def max_match(text: str, vocabulary: frozenset[str]) -> list[str]:
@@ -88,19 +89,40 @@ def tokens_with(f, texts: DataFrame, key: str, text_col: str) -> DataFrame:
     return texts.select(F.col(key).alias("key"), F.col(text_col).alias("text")).mapInPandas(run, f"key {kind}, tokens array<string>").withColumnRenamed("key", key)
 
 
-def character_ids(rows: DataFrame, key: str, text_col: str, vocabulary: DataFrame, max_len: int, unknown: int, start: int, end: int, pad: int = 0) -> DataFrame:
-    """(key, input_ids, attention_mask) of ``max_len`` places: start, the characters' ids, end, padding.
+def character_ids(rows: DataFrame, key: str, text_col: str, vocabulary: DataFrame, max_len: int | None = None, unknown: int = 1, start: int = 2, end: int = 3, pad: int = 0) -> DataFrame:
+    """(key, input_ids, attention_mask) of each row: start, the characters' ids, end, padding.
 
-    ``vocabulary(token, id)``; the ids are looked up once for each distinct
-    character and put back by position.
+    With ``max_len`` texts are cut to as many places.  Without, none is cut:
+    rows are padded to the longest text among those whose lengths have as
+    many binary digits, so that padding at most doubles a row.
+    ``vocabulary(token, id)`` is collected, at most one id for each character.
     """
-    r = rows.select(F.col(key), F.slice(chars(F.coalesce(F.col(text_col), F.lit(""))), 1, max_len - 2).alias("chars"))
-    each = r.select(key, F.posexplode("chars").alias("pos", "token"))
-    ids = each.join(F.broadcast(vocabulary.select("token", "id")), "token", "left").select(key, F.struct("pos", F.coalesce("id", F.lit(unknown)).alias("id")).alias("x"))
-    body = ids.groupBy(key).agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["id"]).alias("body"))
-    full = F.concat(F.array(F.lit(start)), F.coalesce("body", F.array().cast("array<int>")), F.array(F.lit(end)))
-    out = r.select(key).join(body, key, "left").withColumn("full", full)
-    return out.select(key, F.concat("full", F.array_repeat(F.lit(pad), F.lit(max_len) - F.size("full"))).alias("input_ids"), F.transform(F.sequence(F.lit(1), F.lit(max_len)), lambda i: F.when(i <= F.size("full"), 1).otherwise(0)).alias("attention_mask"))
+    r = rows.select(F.col(key), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    if max_len is None:
+        r = r.withColumn("digits", F.length(F.bin(F.char_length("text").cast("long"))))
+        longest = r.groupBy("digits").agg((F.max(F.char_length("text")) + 2).alias("width"))
+        r = r.join(F.broadcast(longest), "digits").select(key, "text", "width")
+    else:
+        r = r.withColumn("width", F.lit(max_len))
+    known = rows.sparkSession.sparkContext.broadcast({ord(x.token): x.id for x in vocabulary.collect() if x.token and len(x.token) == 1})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = np.full(0x110000, unknown, np.int32)
+        ids[list(known.value.keys())] = list(known.value.values())
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(at, ROWS_AT_ONCE)
+                widths = batch.column(2).to_numpy()
+                offsets = np.concatenate([[0], np.cumsum(widths)]).astype(np.int32)
+                out, mask = np.full(offsets[-1], pad, np.int32), np.zeros(offsets[-1], np.int32)
+                for o, width, t in zip(offsets.tolist(), widths.tolist(), batch.column(1).to_pylist()):
+                    a = ids[np.frombuffer(t[: width - 2].encode("utf-32-le", "surrogatepass"), np.uint32)]
+                    out[o], out[o + 1 : o + 1 + len(a)], out[o + 1 + len(a)] = start, a, end
+                    mask[o : o + len(a) + 2] = 1
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.ListArray.from_arrays(pa.array(offsets), pa.array(x)) for x in (out, mask))], ["key", "input_ids", "attention_mask"])
+
+    kind = dict(rows.dtypes)[key]
+    return r.mapInArrow(run, f"key {kind}, input_ids array<int>, attention_mask array<int>").withColumnRenamed("key", key)
 
 
 def sentinel(source: Column, sign: str, max_len: int) -> Column:

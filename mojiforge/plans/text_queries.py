@@ -216,9 +216,19 @@ c AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(substr(text, 1, 30), '')
 b AS (SELECT doc_id, list(coalesce(tid, 1)::INT ORDER BY pos) AS body FROM c LEFT JOIN v ON ch = token GROUP BY doc_id)
 SELECT doc_id, array_to_string(list_concat([2], coalesce(body, []), [3], list_transform(range(30 - len(coalesce(body, []))), lambda x: 0)), ' ') AS ids, len(coalesce(body, []))::BIGINT + 2 AS mask FROM documents LEFT JOIN b USING (doc_id)""")
 def char_ids_padded(spark, d):
+    return _character_ids(spark, d, 32)
+
+
+@query("char_ids_whole")
+def char_ids_whole(spark, d):
+    """The ids of whole documents."""
+    return _character_ids(spark, d)
+
+
+def _character_ids(spark, d, max_len=None):
     v = table(spark, d, "confusion_groups").select(F.explode("chars").alias("token")).distinct()
     v = line_ids(v, ["token"]).select("token", (F.col("line") + 10).cast("int").alias("id"))
-    out = segment.character_ids(table(spark, d, "documents"), "doc_id", "text", v, 32, 1, 2, 3)
+    out = segment.character_ids(table(spark, d, "documents"), "doc_id", "text", v, max_len, 1, 2, 3)
     return out.select("doc_id", F.array_join(F.transform("input_ids", lambda x: x.cast("string")), " ").alias("ids"), F.aggregate("attention_mask", F.lit(0), lambda a, b: a + b).cast("long").alias("mask"))
 
 

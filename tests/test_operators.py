@@ -190,3 +190,14 @@ def test_levels_of_all_pairs(spark, tmp_path):
     df.write.parquet(str(tmp_path / "json_data.parquet"))
     got = {r.id: r.made for r in catalogue.QUERIES["apply_levels_all"](spark, str(tmp_path)).collect()}
     assert got == {i: made for i, _, _, made in rows if made}
+
+
+def test_character_ids(spark):
+    v = spark.createDataFrame([("甲", 10), ("乙", 11)], "token string, id int")
+    texts = {1: "甲" * 40 + "乙", 2: "乙" * 33, 3: None, 4: "", 5: "甲?\n乙"}
+    df = spark.createDataFrame(list(texts.items()), "id long, text string")
+    ids = lambda t: [2, *({"甲": 10, "乙": 11}.get(c, 1) for c in t or ""), 3]
+    for max_len, widths in ((None, {1: 43, 2: 43, 3: 2, 4: 2, 5: 6}), (6, dict.fromkeys(texts, 6))):
+        got = {r.id: (r.input_ids, r.attention_mask) for r in segment.character_ids(df, "id", "text", v, max_len).collect()}
+        want = {i: ids((t or "")[: widths[i] - 2]) for i, t in texts.items()}
+        assert got == {i: (x + [0] * (widths[i] - len(x)), [1] * len(x) + [0] * (widths[i] - len(x))) for i, x in want.items()}
