@@ -164,6 +164,15 @@ def test_quality(spark):
     assert quality.not_prose(df.limit(0), "text", WORDS).count() == 0
 
 
+def test_repeated_line_is_no_clause(spark):
+    unit = "今天早上园丁把新鲜的苗圃花盆送到了河边图书馆，几位老人都很开心"
+    prose = "木匠在车站检查了雨伞，会计修好书架。"
+    df = spark.createDataFrame([(1, unit * 4 + "。"), (2, unit * 4 + "\n" + prose), (3, prose)], "id long, text string")
+    got = {r.id: (r.q.clause_share, r.q.variety) for r in quality.statistics(df, "text", WORDS).collect()}
+    assert got[1][0] == 0 and got[1][1] > 0.66 and got[3][0] == 1
+    assert abs(got[2][0] - len(prose) / (4 * len(unit) + len(prose))) < 1e-9
+
+
 def test_too_many_words():
     with pytest.raises(ValueError):
         quality.word_patterns([("zh", str(i)) for i in range(quality.MAX_WORDS + 1)])
