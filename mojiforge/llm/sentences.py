@@ -41,7 +41,6 @@ WORD_BEFORE = re.compile(r"[^\W\d_]+(?:[.][^\W\d_]+)*$|[\w़ाि-ौ्ंः
 SPEAKER = re.compile(r"\s*[^,，。.!?…;:“”「」『』]{0,14}?(?:说|道|问|答|喊|叫|笑|写|补充|解释|提醒(?:大家)?|表示|认为|指出|感叹|嘀咕|回应|介绍|と(?:言|聞|話|答)[^。]{0,12})\s*(?:[。.!?…]|$)")
 SPEAKER_LATIN = re.compile(r"\s*(?:[A-Z][\w.]*\s+){1,4}(?:said|asked|replied|added|shouted|whispered|wrote|explained|answered|cried|warned)\b|\s*,")
 FORBIDDEN = -100.0
-SKIPS = 6  # leaving out a likely end costs more than a span's length can gain; so no best sequence leaves out as many
 
 
 def _matched(s: str) -> tuple[list[tuple[int, int]], dict[int, int]]:
@@ -162,24 +161,29 @@ def _ends_of_line(s: str) -> list[int]:
         if score > -3.5:
             nodes.append((end, score, decides, speaker))
     ends = [0, *(x[0] for x in nodes), n]
-    best, back = [0.0], [0]
+    # The first place from each end on that is no white space.
+    solid = [e + len(s[e:]) - len(s[e:].lstrip()) if s[e : e + 1].isspace() else e for e in ends]
+    best, back, highest = [0.0], [0], [0.0]
     for j in range(1, len(ends)):
         own = nodes[j - 1] if j <= len(nodes) else (n, 0.0, None, False)
         top, arg = -1e18, 0
-        for i in range(j - 1, max(-1, j - 1 - SKIPS), -1):
-            start = ends[i]
-            size = ends[j] - start
+        for i in range(j - 1, -1, -1):
+            size = ends[j] - ends[i]
+            # Nothing from here on back can be better: spans only grow.
+            if highest[i] + own[1] - min(size, 1000) * 1e-4 - (own[2] is not None) <= top:
+                break
             score = best[i] + own[1]
             if own[2] is not None:
-                begins = not s[start : own[2]].strip()
+                begins = solid[i] >= own[2]
                 # A quotation is a sentence of its own only where it begins one and no speaker follows.
                 score += (-7.0 if own[3] else -1.0) if begins else -7.0
-            if size < 2 or not s[start : ends[j]].strip():
+            if size < 2 or solid[i] >= ends[j]:
                 score -= 3.0
             score -= min(size, 1000) * 1e-4
             if score > top:
                 top, arg = score, i
         best.append(top)
+        highest.append(max(highest[-1], top))
         back.append(arg)
     out, j = [], len(ends) - 1
     while j:

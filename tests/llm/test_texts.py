@@ -121,3 +121,8 @@ def test_labels():
     assert label("今天天气很好，我们去了公园。") is False
     assert label("1. 苹果\n2. 香蕉\n3. 梨子") is True and label("a\tb\tc\n1\t2\t3") is True
     assert label(" ") is None and label(None) is None
+
+
+def test_many_unlikely_ends_in_a_sentence():
+    for text in ("Ha!" + " ha!" * 12 + " he laughed.", "他读过" + "《花盆！》" * 12 + "。"):
+        assert sentences.sentence_ends(text) == [len(text)]
