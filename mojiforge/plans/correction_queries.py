@@ -224,6 +224,15 @@ def leakage_top10(spark, d):
     return datasets.most_similar(a, b)
 
 
+@query("leakage_splits")
+def leakage_splits(spark, d):
+    """The most similar sources of val or test records (those with an id divisible by 100) and train records, in blocks."""
+    j = table(spark, d, "json_data").where("source is not null and id is not null")
+    a = j.where("split_name in ('val', 'test') and id % 100 = 0").select(F.col("id").alias("a_id"), F.col("source").alias("a")).distinct()
+    b = j.where("split_name = 'train'").select(F.col("id").alias("b_id"), F.col("source").alias("b")).distinct()
+    return datasets.most_similar(a, b)
+
+
 @query("pair_similarity", f"WITH {PAIRS} SELECT id, round({RATIO.format(a='source', b='target')}, 6) AS ratio FROM pairs WHERE source <> ''")
 def pair_similarity(spark, d):
     return pairs(spark, d).where("source <> ''").select("id", F.round(T.multiset_ratio(F.col("source"), F.col("target")), 6).alias("ratio"))

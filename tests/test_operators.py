@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -201,3 +204,14 @@ def test_character_ids(spark):
         got = {r.id: (r.input_ids, r.attention_mask) for r in segment.character_ids(df, "id", "text", v, max_len).collect()}
         want = {i: ids((t or "")[: widths[i] - 2]) for i, t in texts.items()}
         assert got == {i: (x + [0] * (widths[i] - len(x)), [1] * len(x) + [0] * (widths[i] - len(x))) for i, x in want.items()}
+
+
+def test_leakage_between_splits(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(i, "".join(rng.choice("甲乙丙丁戊己庚辛") for _ in range(rng.randrange(1, 12))), rng.choice(["train", "val", "test", None])) for i in range(0, 4000, 50)]
+    rows += [(4000, None, "val"), (4001, None, "train"), rows[0], (None, "甲", "train")]
+    spark.createDataFrame(rows, "id long, source string, split_name string").write.parquet(str(tmp_path / "json_data.parquet"))
+    ratio = lambda a, b: round(2 * (Counter(a) & Counter(b)).total() / len(a + b), 6)
+    known = {x for x in rows if x[0] is not None and x[1] is not None}
+    want = sorted((-ratio(a[1], b[1]), a[0], b[0]) for a in known for b in known if a[2] in ("val", "test") and a[0] % 100 == 0 and b[2] == "train")[:10]
+    assert [(-r.ratio, r.a_id, r.b_id) for r in catalogue.QUERIES["leakage_splits"](spark, str(tmp_path)).collect()] == want
