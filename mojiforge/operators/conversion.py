@@ -43,8 +43,12 @@ def convert_characters(c: Column, table: dict[str, str]) -> Column:
 
 
 def convert(rows: DataFrame, key: str, text_col: str, table: DataFrame) -> DataFrame:
-    """(key, converted) by ``table(source, target)`` of at most MAX_ENTRIES rows; of a source listed twice the last target by order counts."""
-    entries = {r.source: r.target for r in table.orderBy("source", "target").limit(MAX_ENTRIES + 1).collect()}
+    """(key, converted) by ``table(source, target)`` of at most MAX_ENTRIES sources; of a source listed twice the last target by order counts.
+
+    Null texts stay null; entries with a null or empty side count as none.
+    """
+    once = table.where("source is not null and source <> '' and target is not null").groupBy("source").agg(F.max("target").alias("target"))
+    entries = {r.source: r.target for r in once.limit(MAX_ENTRIES + 1).collect()}
     if len(entries) > MAX_ENTRIES:
         raise ValueError("the conversion table is too large to broadcast")
     shared = rows.sparkSession.sparkContext.broadcast(entries)

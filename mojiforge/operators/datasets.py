@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from mojiforge.functions.text import is_sentence_ok, multiset_ratio
+from mojiforge.functions.text import is_sentence_ok
 from mojiforge.operators.dictionaries import line_ids
 
+EDGE_ROWS = 100_000
+BLOCK_CHARS = 1 << 22
+
 
 def clean_gec(pairs: DataFrame, min_len: int = 10) -> DataFrame:
     """``pairs(src, aug, ...)`` whose right side is an ok sentence."""
@@ -39,22 +46,26 @@ def shards(rows: DataFrame, order: list[str], number: int, keep_rest: bool) -> D
 def dev_split(rows: DataFrame, key: str, share: float, seed: str) -> DataFrame:
     """``rows`` with ``is_dev``: exactly max(int(n * share), 1) rows, chosen by hash of the key.
 
-    The cut is found from counts of hash buckets and the order inside one
-    bucket; no task sorts all rows.
+    The cut is found from counts of hash buckets, each level dividing the
+    bucket of the cut by 4096, until EDGE_ROWS rows or fewer are left to put
+    in order; no task sorts more.  Rows of one key stay on one side.
     """
     want = max(int(rows.count() * share), 1)
     hashed = rows.withColumn("__h", F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))))
-    bucket = F.substring("__h", 1, 3)
-    seen, cut = 0, None
-    for r in hashed.groupBy(bucket.alias("b")).count().orderBy("b").collect():  # 4096 rows at most
-        if seen + r["count"] >= want:
-            cut = r["b"]
-            break
-        seen += r["count"]
-    if cut is None:
-        return hashed.withColumn("is_dev", F.lit(True)).drop("__h")
-    edge = hashed.where(bucket == cut).select("__h").orderBy("__h").limit(want - seen).agg(F.max("__h").alias("__edge"))
-    return hashed.join(F.broadcast(edge)).withColumn("is_dev", F.col("__h") <= F.col("__edge")).drop("__h", "__edge")
+    seen, cut, size = 0, "", None
+    while len(cut) < 32 and (size is None or size > EDGE_ROWS):
+        inside = hashed.where(F.startswith("__h", F.lit(cut)))
+        for r in inside.groupBy(F.substring("__h", 1, len(cut) + 3).alias("b")).count().orderBy("b").collect():  # 4096 rows at most
+            if seen + r["count"] >= want:
+                cut, size = r["b"], r["count"]
+                break
+            seen += r["count"]
+        else:
+            return hashed.withColumn("is_dev", F.lit(True)).drop("__h")
+    if len(cut) == 32:  # more rows than EDGE_ROWS have this one key
+        return hashed.withColumn("is_dev", F.col("__h") <= cut).drop("__h")
+    last = max(r["__h"] for r in hashed.where(F.startswith("__h", F.lit(cut))).select("__h").orderBy("__h").limit(want - seen).collect())
+    return hashed.withColumn("is_dev", F.col("__h") <= last).drop("__h")
 
 
 def label_coverage(current: DataFrame, known: DataFrame, col: str) -> DataFrame:
@@ -74,16 +85,77 @@ def without_labels(rows: DataFrame, key: str, labels: str, unwanted: DataFrame,
     return rows.join(bad, key, "left_anti")
 
 
-def most_similar(left: DataFrame, right: DataFrame, top: int = 10, blocks: int = 8) -> DataFrame:
-    """The ``top`` most similar pairs of ``left(a_id, a)`` and ``right(b_id, b)`` by multiset ratio.
-
-    ``left`` is the stated query set: it is cut into blocks that meet all
-    right rows block by block, so no task holds more than one block.
+class QueryBlock:
+    """An inverted index of some texts' characters: the k-th occurrence of a character is a token of its own,
+    so the tokens that two texts share are what their character multisets share."""
+
+    def __init__(self, ids: list, texts: list[str]) -> None:
+        self.ids, self.sizes = ids, np.array([len(t) for t in texts], np.int64)
+        own, token = self.tokens(texts)
+        order = np.argsort(token, kind="stable")
+        self.token, first = np.unique(token[order], return_index=True)
+        self.own, self.bounds = own[order], np.append(first, len(order))
+
+    @staticmethod
+    def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(text, token) of every character."""
+        a = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        own = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        order = np.lexsort((a, own))
+        a, own = a[order], own[order]
+        begins = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (own[1:] != own[:-1])])) if len(a) else np.zeros(0, np.int64)
+        nth = np.arange(len(a)) - np.repeat(begins, np.diff(begins, append=len(a)))
+        return own, (nth << 21) | a
+
+    def ratios(self, texts: list[str]) -> np.ndarray:
+        """The multiset ratio of each text (a row) with each of the block's texts, rounded; 0 for two empty ones."""
+        own, token = self.tokens(texts)
+        at = np.searchsorted(self.token, token)
+        at[at == len(self.token)] = 0
+        hit = np.flatnonzero(self.token[at] == token) if len(self.token) else np.zeros(0, np.int64)
+        at, own = at[hit], own[hit]
+        n = self.bounds[at + 1] - self.bounds[at]
+        place = np.repeat(self.bounds[at] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        common = np.bincount(np.repeat(own, n) * len(self.ids) + self.own[place], minlength=len(texts) * len(self.ids)).reshape(len(texts), -1)
+        whole = np.array([len(t) for t in texts], np.int64)[:, None] + self.sizes[None, :]
+        return np.round(2.0 * common / np.maximum(whole, 1), 6)
+
+
+def most_similar(left: DataFrame, right: DataFrame, top: int = 10, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The ``top`` most similar pairs (a_id, b_id, ratio) of ``left(a_id, a)`` and ``right(b_id, b)`` by multiset ratio; ties by the ids.
+
+    ``left`` is the stated query set.  It is cut into blocks of about
+    ``block_chars`` characters, each of which is broadcast as an inverted
+    index and passes over all right rows where they lie: no row is moved, each
+    task keeps its best pairs, and the tasks are those of the right scan.
+    Null ids and texts are in no pair; repeated rows count each.
     """
-    a = left.withColumn("__block", F.pmod(F.xxhash64("a_id"), F.lit(blocks)))
-    b = right.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    pairs = a.join(b, "__block").select("a_id", "b_id", F.round(multiset_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
-    return pairs.orderBy(F.desc("ratio"), "a_id", "b_id").limit(top)
+    spark = left.sparkSession
+    left, right = left.select("a_id", "a").where("a_id is not null and a is not null"), right.select("b_id", "b").where("b_id is not null and b is not null")
+    chars = left.agg(F.sum(F.char_length("a") + 1)).first()[0] or 0
+    blocks = max(1, -(-chars // block_chars))
+    kinds = f"a_id {dict(left.dtypes)['a_id']}, b_id {dict(right.dtypes)['b_id']}, ratio double"
+    best = None
+    for k in range(blocks):
+        rows = left.where(F.pmod(F.xxhash64("a_id", "a"), F.lit(blocks)) == k).collect()
+        block = spark.sparkContext.broadcast(QueryBlock([r.a_id for r in rows], [r.a for r in rows]))
+
+        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            q, found = block.value, []
+            each = max(1, (1 << 22) // max(1, len(q.ids)))
+            for batch in batches:
+                ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                for at in range(0, len(ids) if q.ids else 0, each):
+                    r = q.ratios(texts[at : at + each])
+                    least = max(np.partition(r, r.size - top, axis=None)[r.size - top] if r.size > top else -1.0, -found[-1][0] if len(found) == top else -1.0)
+                    found += [(-float(r[i, j]), q.ids[j], ids[at + i]) for i, j in zip(*np.nonzero(r >= least))]
+                    found = sorted(found)[:top]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([f[1] for f in found]), pa.array([f[2] for f in found]), pa.array([-f[0] for f in found])], ["a_id", "b_id", "ratio"])
+
+        part = right.mapInArrow(run, kinds)
+        best = part if best is None else best.unionByName(part)
+    return best.orderBy(F.desc("ratio"), "a_id", "b_id").limit(top)
 
 
 def steps(rows: int, batch: int, nodes: int = 1) -> int:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from mojiforge.session import settle
+
 
 def frequencies(tokens: DataFrame, token_col: str, least: int = 1) -> DataFrame:
     """(token, cnt) of all tokens that occur at least ``least`` times; null and empty ones don't count."""
@@ -83,16 +85,20 @@ def unambiguous_class(words: DataFrame, groups: DataFrame) -> DataFrame:
 def line_ids(rows: DataFrame, order: list[str]) -> DataFrame:
     """``rows`` with a 0-based ``line``: positions come from per-partition offsets, so no task sees all rows.
 
-    Rows are range-partitioned by ``order``; the offsets table has one row for
-    each partition.
+    Rows are range-partitioned by ``order`` and written once with their place
+    in their partition, so that the counts and the rows speak of the same
+    partitions whatever adaptive execution makes of either.  The offsets table
+    has one row for each partition.  Rows that are equal in ``order`` follow
+    one another in any order; an empty table stays empty.
     """
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
-    inside = Window.partitionBy("__p").orderBy(*order)
-    numbered = ranged.withColumn("__n", F.row_number().over(inside))
-    sizes = numbered.groupBy("__p").agg(F.max("__n").alias("__size"))
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = settle(ranged.withColumn("__m", F.monotonically_increasing_id()))
+    part = F.shiftright("__m", 33)
+    sizes = placed.groupBy(part.alias("__p")).agg(F.count("*").alias("__size"))
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("__p", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__offset"))
-    return numbered.join(F.broadcast(offsets), "__p").withColumn("line", F.col("__offset") + F.col("__n") - 1).drop("__p", "__n", "__size", "__offset")
+    place = F.col("__m").bitwiseAND((1 << 33) - 1)
+    return placed.withColumn("__p", part).join(F.broadcast(offsets), "__p").withColumn("line", F.col("__offset") + place).drop("__p", "__m", "__offset")
 
 
 def sound_keys(words: DataFrame, word_col: str, readings: DataFrame, whole_words: bool) -> DataFrame:

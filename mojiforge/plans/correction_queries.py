@@ -143,30 +143,40 @@ def confusion_candidates(spark, d):
     return D.candidates(_chars(spark, d), "token", groups, same_length=True).withColumn("candidates", F.array_join("candidates", " "))
 
 
-@query("phonetic_buckets", "SELECT lower(substr(word, 1, 2)) AS key, array_to_string(list_sort(list_distinct(list(word))), ' ') AS tokens FROM common_words WHERE lang IN ('en', 'de') GROUP BY 1")
+SOUND_SQL = "lower(substr({c}, 1, 1)) || regexp_replace(lower(substr({c}, 2)), '[aeiouyhw]', '', 'g')"
+
+
+def _sound(c):
+    return F.concat(F.lower(F.substring(c, 1, 1)), F.regexp_replace(F.lower(F.substring(F.col(c), 2, 1 << 30)), "[aeiouyhw]", ""))
+
+
+@query("phonetic_buckets", f"SELECT {SOUND_SQL.format(c='word')} AS key, array_to_string(list_sort(list_distinct(list(word))), ' ') AS tokens FROM common_words WHERE lang IN ('en', 'de') GROUP BY 1")
 def phonetic_buckets(spark, d):
-    """Buckets by a stand-in for a sound key: the first two letters."""
+    """Buckets by sound: the first letter and the consonants after it."""
     w = table(spark, d, "common_words").where("lang in ('en', 'de')")
-    return D.buckets(w, "word", F.lower(F.substring("word", 1, 2))).withColumn("tokens", F.array_join("tokens", " "))
+    return D.buckets(w, "word", _sound("word")).withColumn("tokens", F.array_join("tokens", " "))
 
 
-@query("homophone_candidates", "WITH b AS (SELECT lower(substr(word, 1, 2)) AS key, list_sort(list_distinct(list(word))) AS tokens FROM common_words WHERE lang IN ('en', 'de') GROUP BY 1) SELECT p_partkey, array_to_string(list_filter(tokens, lambda x: length(x) = length(p_name_first)), ' ') AS candidates FROM (SELECT p_partkey, string_split(p_name, ' ')[1] AS p_name_first FROM part) LEFT JOIN b ON lower(substr(p_name_first, 1, 2)) = key")
+@query("homophone_candidates", f"WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word FROM documents WHERE lang IN ('en', 'de')), b AS (SELECT {SOUND_SQL.format(c='word')} AS key, list(word) AS tokens FROM w GROUP BY 1) SELECT word, array_to_string(list_sort(list_filter(tokens, lambda x: length(x) = length(word))), ' ') AS candidates FROM w JOIN b ON {SOUND_SQL.format(c='word')} = key")
 def homophone_candidates(spark, d):
-    w = table(spark, d, "common_words").where("lang in ('en', 'de')")
-    b = D.buckets(w, "word", F.lower(F.substring("word", 1, 2)))
-    p = table(spark, d, "part").select("p_partkey", F.split("p_name", " ", -1)[0].alias("first"))
-    x = p.withColumn("key", F.lower(F.substring("first", 1, 2))).join(F.broadcast(b), "key", "left")
-    return x.select("p_partkey", F.array_join(F.filter("tokens", lambda t: F.char_length(t) == F.char_length("first")), " ").alias("candidates"))
+    """The words of one length that sound like each word of the English and German documents, itself included."""
+    w = table(spark, d, "documents").where("lang in ('en', 'de')").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0)).alias("word")).distinct()
+    x = w.withColumn("key", _sound("word")).join(D.buckets(w, "word", _sound("word")), "key")
+    return x.select("word", F.array_join(F.filter("tokens", lambda t: F.char_length(t) == F.char_length("word")), " ").alias("candidates"))
+
 
+FUZZY = """WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]+')) AS word FROM documents), b AS (SELECT regexp_extract(word, '^[a-z]h?[aeiou]') AS key, list_sort(list(word)) AS tokens FROM w WHERE regexp_matches(word, '^[a-z]h?[aeiou]') GROUP BY 1),
+p AS (SELECT l.key AS long, s.key AS short, list_concat(s.tokens, l.tokens) AS joined FROM b l JOIN b s ON s.key = replace(l.key, 'h', '') WHERE regexp_matches(l.key, '^[a-z]h')),
+n AS (SELECT long AS key, joined FROM p UNION ALL SELECT short, arg_max(joined, long) FROM p GROUP BY short)
+SELECT b.key, array_to_string(coalesce(joined, tokens), ' ') AS tokens FROM b LEFT JOIN n USING (key)"""
 
-@query("fuzzy_merge", """WITH b AS (SELECT syllable AS key, list_sort(list(DISTINCT src)) AS tokens FROM (SELECT regexp_extract(content, '[a-z]h?[āáǎàōóǒòēéěèīíǐìūúǔùǖǘǚǜ][a-z]*', 0) AS raw, account AS src FROM weixin_corpus) JOIN (VALUES ('zhǔ', 'zhu'), ('shēng', 'sheng'), ('chéng', 'cheng'), ('xué', 'xue'), ('lǜ', 'lv'), ('háng', 'hang')) v(raw2, syllable) ON raw = raw2 WHERE src IS NOT NULL GROUP BY 1)
-SELECT key, len(tokens)::BIGINT AS n FROM b""")
+
+@query("fuzzy_merge", FUZZY)
 def fuzzy_merge(spark, d):
-    """Accounts by the first syllable they spell; no key has a partner without its h, so lists stay as they are."""
-    raw = F.regexp_extract("content", "[a-z]h?[āáǎàōóǒòēéěèīíǐìūúǔùǖǘǚǜ][a-z]*", 0)
-    spelled = F.create_map(*[F.lit(x) for pair in (("zhǔ", "zhu"), ("shēng", "sheng"), ("chéng", "cheng"), ("xué", "xue"), ("lǜ", "lv"), ("háng", "hang")) for x in pair])
-    w = table(spark, d, "weixin_corpus").where("content is not null")
-    return D.merge_fuzzy(D.buckets(w, "account", F.try_element_at(spelled, raw))).select("key", F.size("tokens").cast("long").alias("n"))
+    """Words by the letters up to their first vowel: those with h and without it are merged."""
+    w = table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]+"), 0)).alias("word")).where(F.col("word").rlike("^[a-z]h?[aeiou]"))
+    merged = D.merge_fuzzy(D.buckets(w, "word", F.regexp_extract("word", "^[a-z]h?[aeiou]", 0)))
+    return merged.select("key", F.array_join("tokens", " ").alias("tokens"))
 
 
 @query("bucket_union", "WITH a AS (SELECT lang AS key, list(word) AS x FROM common_words WHERE length(word) <= 2 GROUP BY 1), b AS (SELECT lang AS key, list(word) AS y FROM common_words WHERE length(word) >= 2 GROUP BY 1) SELECT key, array_to_string(list_sort(list_distinct(list_concat(coalesce(x, []), coalesce(y, [])))), ' ') AS tokens FROM a FULL JOIN b USING (key)")
@@ -188,11 +198,16 @@ def ambiguous_class_expand(spark, d):
     return D.unambiguous_class(g.select(F.explode("words").alias("word")).distinct(), g).withColumn("members", F.array_join("members", " "))
 
 
-@query("simplify_lists", "SELECT replace(lang, 'e', 'E') AS key, array_to_string(list_sort(list_distinct(list(translate(word, 'ae', 'AE')))), ' ') AS tokens FROM common_words GROUP BY 1")
+VARIANTS = {"做": "作", "在": "再", "得": "的", "地": "的", "这": "這", "书": "書", "车": "車", "门": "門"}
+VARIANT_SQL = f"'{''.join(VARIANTS)}', '{''.join(VARIANTS.values())}'"
+
+
+@query("simplify_lists", f"WITH {PAIRS} SELECT translate(substr(target, 1, 1), {VARIANT_SQL}) AS key, array_to_string(list_sort(list(DISTINCT translate(substr(target, 2, 4), {VARIANT_SQL}))), '|') AS tokens FROM pairs WHERE target <> '' GROUP BY 1")
 def simplify_lists(spark, d):
-    b = D.buckets(table(spark, d, "common_words"), "word", F.replace("lang", F.lit("a"), F.lit("a")))
-    out = conversion.convert_lists(b, {"a": "A", "e": "E"}, distinct=True)
-    return out.select(F.replace("key", F.lit("A"), F.lit("a")).alias("key"), F.array_join("tokens", " ").alias("tokens"))
+    """The second to fifth characters of texts by their first, with variants of one character put together; keys that become equal are joined."""
+    p = pairs(spark, d).where("target <> ''").withColumn("rest", F.substring("target", 2, 4))
+    b = D.buckets(p, "rest", F.substring("target", 1, 1))
+    return conversion.convert_lists(b, VARIANTS, distinct=True).select("key", F.array_join("tokens", "|").alias("tokens"))
 
 
 # --- coverage, leakage, sets ----------------------------------------------------------------------------------------------------------
@@ -217,16 +232,13 @@ def filter_uncovered(spark, d):
 RATIO = "(2.0 * list_sum(list_transform(list_distinct(regexp_extract_all({a}, '(?s).')), lambda x: least(length({a}) - length(replace({a}, x, '')), length({b}) - length(replace({b}, x, ''))))) / (length({a}) + length({b})))"
 
 
-@query("leakage_top10", "SELECT a_id, b_id, round(r, 6) AS ratio FROM (SELECT a.template_id AS a_id, b.p_partkey AS b_id, " + RATIO.format(a="a.left_text", b="b.p_name") + " AS r FROM correction_templates a, part b WHERE a.left_text IS NOT NULL) ORDER BY round(r, 6) DESC, a_id, b_id LIMIT 10")
-def leakage_top10(spark, d):
-    a = table(spark, d, "correction_templates").where("left_text is not null").select(F.col("template_id").alias("a_id"), F.col("left_text").alias("a"))
-    b = table(spark, d, "part").select(F.col("p_partkey").alias("b_id"), F.col("p_name").alias("b"))
-    return datasets.most_similar(a, b)
+LEAKAGE = """q AS (SELECT DISTINCT id AS a_id, source AS a FROM json_data WHERE split_name IN ('val', 'test') AND id % 100 = 0 AND source IS NOT NULL),
+t AS (SELECT DISTINCT id AS b_id, source AS b FROM json_data WHERE split_name = 'train' AND id IS NOT NULL AND source IS NOT NULL)"""
 
 
-@query("leakage_splits")
-def leakage_splits(spark, d):
-    """The most similar sources of val or test records (those with an id divisible by 100) and train records, in blocks."""
+@query("leakage_top10", f"WITH {LEAKAGE} SELECT a_id, b_id, round(r, 6) AS ratio FROM (SELECT a_id, b_id, {RATIO.format(a='a', b='b')} AS r FROM q, t) ORDER BY round(r, 6) DESC, a_id, b_id LIMIT 10")
+def leakage_top10(spark, d):
+    """The most similar sources of val or test records (the query set: those with an id divisible by 100) and of all train records."""
     j = table(spark, d, "json_data").where("source is not null and id is not null")
     a = j.where("split_name in ('val', 'test') and id % 100 = 0").select(F.col("id").alias("a_id"), F.col("source").alias("a")).distinct()
     b = j.where("split_name = 'train'").select(F.col("id").alias("b_id"), F.col("source").alias("b")).distinct()
@@ -419,9 +431,12 @@ def char_pair_similarity(spark, d):
     return similarity.character_similarity(p, meta)
 
 
-@query("trad_simp", "SELECT id, translate(source, '館見並', '馆见并') AS converted FROM (SELECT DISTINCT id, source FROM json_data WHERE source IS NOT NULL)")
+@query("trad_simp", "SELECT id, translate(replace(replace(replace(replace(source, '图书管理员', '圖書管理員'), '书管理员', '書管理員'), '图书', '圖書'), '书馆', '書舘'), '館見並长', '馆见并長') AS converted FROM (SELECT DISTINCT id, source FROM json_data WHERE source IS NOT NULL)")
 def trad_simp(spark, d):
-    t = spark.createDataFrame([("館", "馆"), ("見", "见"), ("並", "并")], "source string, target string")
+    """Overlapping phrases: the fewest segments win (图 and 书管理员 over 图书, 管, 理 and 员), of equals the longer first one (图书 and 馆 over 图 and 书馆)."""
+    entries = [("館", "馆"), ("見", "见"), ("並", "并"), ("图书", "圖書"), ("书管理员", "書管理員"), ("图", "图"), ("书馆", "書舘"), ("长", "長"), ("图书", "一")]
+    entries.append(("图书管理员", "圖書管理員"))
+    t = spark.createDataFrame(entries, "source string, target string")
     return conversion.convert(table(spark, d, "json_data").where("source is not null").select("id", "source").distinct(), "id", "source", t)
 
 

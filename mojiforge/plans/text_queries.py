@@ -8,7 +8,8 @@ from mojiforge.functions import text as T
 from mojiforge.operators import datasets, segment
 from mojiforge.operators.dictionaries import line_ids
 from mojiforge.plans.catalogue import query, table
-from mojiforge.sources.files import parse_solutions
+from mojiforge.session import shared_folder
+from mojiforge.sources.files import parse_solutions, read_corpus_jsonl, read_parallel, read_tsv_pairs, write_lines, write_pairs_tsv
 
 FULL, HALF = T.FULL_WIDTH, T.HALF_WIDTH
 q = lambda s: s.replace("'", "''")
@@ -116,26 +117,26 @@ def segment_full_stops(spark, d):
     return clean.select("row_id", F.explode(stops).alias("piece")).where(T.is_sentence_ok(F.col("piece")))
 
 
-SHARD = "(SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS line, (SELECT count(*) FROM weixin_corpus) AS n FROM weixin_corpus)"
+SHARD = "(SELECT row_id, content, row_number() OVER (ORDER BY row_id) - 1 AS line, (SELECT count(*) FROM weixin_corpus) AS n FROM weixin_corpus)"
 
 
-@query("shard_drop_remainder", f"SELECT row_id, (line // (n // 7))::BIGINT AS shard FROM {SHARD} WHERE line < (n // 7) * 7")
+@query("shard_drop_remainder", f"SELECT row_id, content, (line // (n // 7))::BIGINT AS shard FROM {SHARD} WHERE line < (n // 7) * 7")
 def shard_drop_remainder(spark, d):
-    return datasets.shards(table(spark, d, "weixin_corpus").select("row_id"), ["row_id"], 7, False)
+    return datasets.shards(table(spark, d, "weixin_corpus").select("row_id", "content"), ["row_id"], 7, False)
 
 
-@query("shard_keep_remainder", f"SELECT row_id, least(line // (n // 7), 6)::BIGINT AS shard FROM {SHARD}")
+@query("shard_keep_remainder", f"SELECT row_id, content, least(line // (n // 7), 6)::BIGINT AS shard FROM {SHARD}")
 def shard_keep_remainder(spark, d):
-    return datasets.shards(table(spark, d, "weixin_corpus").select("row_id"), ["row_id"], 7, True)
+    return datasets.shards(table(spark, d, "weixin_corpus").select("row_id", "content"), ["row_id"], 7, True)
 
 
 def _padded(width: str, base: int) -> str:
-    return f"SELECT doc_id, lpad((row_number() OVER (ORDER BY doc_id) - {1 - base})::VARCHAR, {width}, '0') AS padded FROM documents"
+    return f"SELECT doc_id, text, lpad((row_number() OVER (ORDER BY doc_id) - {1 - base})::VARCHAR, {width}, '0') AS padded FROM documents"
 
 
 def _numbered(spark, d, base, width):
-    rows = line_ids(table(spark, d, "documents").select("doc_id"), ["doc_id"])
-    return rows.select("doc_id", T.padded(F.col("line") + base, width).alias("padded"))
+    rows = line_ids(table(spark, d, "documents").select("doc_id", "text"), ["doc_id"])
+    return rows.select("doc_id", "text", T.padded(F.col("line") + base, width).alias("padded"))
 
 
 @query("padded_ids_8", _padded("8", 1))
@@ -153,22 +154,34 @@ def padded_ids_n(spark, d):
     return _numbered(spark, d, 0, len(str(table(spark, d, "documents").count())) + 1)
 
 
-@query("content_from_json", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+@query("content_from_json", "SELECT content FROM weixin_corpus WHERE content <> ''")
 def content_from_json(spark, d):
-    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+    """The articles written as JSON lines and read again."""
+    path = shared_folder(spark)
+    table(spark, d, "weixin_corpus").select("content").write.json(path)
+    return read_corpus_jsonl(spark, path)
 
 
-@query("tsv_pairs", "SELECT pair_id, string_split(line, chr(9))[1] AS source, string_split(line, chr(9))[2] AS target FROM (SELECT pair_id, aug || chr(9) || src AS line FROM augmented_pairs)")
+FLAT = "regexp_replace(coalesce({c}, ''), '[\\t\\r\\n]+', ' ', 'g')"
+
+
+@query("tsv_pairs", f"SELECT string_split(line, chr(9))[1] AS source, string_split(line, chr(9))[2] AS target FROM (SELECT {STRIP_SQL(FLAT.format(c='aug') + ' || chr(9) || ' + FLAT.format(c='src'))} AS line FROM augmented_pairs) WHERE line <> ''")
 def tsv_pairs(spark, d):
-    part = F.split("line", "\t", -1)
-    return table(spark, d, "augmented_pairs").select("pair_id", F.concat("aug", F.lit("\t"), "src").alias("line")).select("pair_id", part[0].alias("source"), F.get(part, F.lit(1)).alias("target"))
+    """The machine-made pairs written as tab-separated lines and read again."""
+    path = shared_folder(spark)
+    write_pairs_tsv(table(spark, d, "augmented_pairs"), path)
+    return read_tsv_pairs(spark, path)
 
 
-@query("parallel_lines", f"SELECT a.template_id, a.left_text AS source, b.right_text AS target FROM correction_templates a JOIN correction_templates b USING (template_id) WHERE length({STRIP_SQL('a.left_text')}) > 0 AND length({STRIP_SQL('b.right_text')}) > 0")
+@query("parallel_lines", f"SELECT line, source, target FROM (SELECT row_number() OVER (ORDER BY pair_id) - 1 AS line, {STRIP_SQL(FLAT.format(c='aug'))} AS source, {STRIP_SQL(FLAT.format(c='src'))} AS target FROM augmented_pairs) WHERE source <> '' AND target <> ''")
 def parallel_lines(spark, d):
-    t = table(spark, d, "correction_templates")
-    both = t.select("template_id", F.col("left_text").alias("source")).join(t.select("template_id", F.col("right_text").alias("target")), "template_id")
-    return both.where((F.length(T.strip(F.col("source"))) > 0) & (F.length(T.strip(F.col("target"))) > 0))
+    """Both sides of the machine-made pairs written to a file of lines each and zipped again."""
+    a = table(spark, d, "augmented_pairs")
+    paths = []
+    for c in ("aug", "src"):
+        paths.append(shared_folder(spark))
+        write_lines(a.select("pair_id", F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"[\t\r\n]+", " ").alias(c)), paths[-1], c, ["pair_id"])
+    return read_parallel(spark, *paths)
 
 
 @query("solution_parse", "SELECT pair_id::VARCHAR AS pid, 1::BIGINT AS n, shard::VARCHAR AS loc, CASE WHEN aug IS NULL OR contains(aug, ',') OR contains(src, ',') THEN NULL ELSE aug END AS wrong FROM augmented_pairs WHERE aug IS NOT NULL AND src IS NOT NULL AND NOT contains(aug, ',') AND NOT contains(src, ',') AND length(" + STRIP_SQL("aug") + ") = length(aug)")

@@ -64,12 +64,13 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_parallel(spark: SparkSession, sources: str, targets: str, first: int | None = None) -> DataFrame:
-    """(line, source, target) of two files of one length, without pairs with a blank side; ``first``: only so many, in order."""
+    """(line, source, target) of two files of one length, without pairs with a blank side; ``first``: only so many lines of each file."""
     a, b = numbered_lines(spark, sources).withColumnRenamed("value", "source"), numbered_lines(spark, targets).withColumnRenamed("value", "target")
+    if first is not None:
+        a, b = a.where(F.col("line") < first), b.where(F.col("line") < first)
     both = a.join(b, "line", "full")
     checked = F.when(F.col("source").isNull() | F.col("target").isNull(), F.raise_error(F.lit("files of different length")).cast("string")).otherwise(strip(F.col("source")))
-    rows = both.select("line", checked.alias("source"), strip(F.col("target")).alias("target")).where("source <> '' and target <> ''")
-    return rows.orderBy("line").limit(first) if first else rows
+    return both.select("line", checked.alias("source"), strip(F.col("target")).alias("target")).where("source <> '' and target <> ''")
 
 
 def read_templates(spark: SparkSession, path: str) -> DataFrame:
@@ -213,5 +214,6 @@ def write_metrics(scores: DataFrame, path: str) -> None:
 
 
 def decode_bytes(c):
-    """Bytes as UTF-8 text without what isn't valid."""
-    return F.replace(F.decode(c, "UTF-8"), F.lit("�"), F.lit(""))
+    """Bytes as UTF-8 text without what isn't valid; a replacement character that is spelled out stays."""
+    kept = F.unhex(F.regexp_replace(F.hex(c), r"\G((?:..)*?)EFBFBD", "$1EFB790"))  # a noncharacter stands for it meanwhile
+    return F.translate(F.replace(F.make_valid_utf8(kept.cast("string")), F.lit("�"), F.lit("")), "\ufdd0", "�")
