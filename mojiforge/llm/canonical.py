@@ -1,10 +1,14 @@
 """One consistent form for texts that look the same.
 
-Words of alphabetic scripts are looked up in vocabulary tries by a weighted
-edit automaton to which look-alike letters, widths, accents written apart and
-invisible characters cost nothing; of the words it reaches, the most frequent
-spelling in one script is canonical.  Everything unmatched, and all other
-text, is normalised by table (``textforms.displayed``).
+Tokens are looked up in vocabulary tries by a weighted edit automaton to which
+look-alike characters, widths, accents written apart and invisible characters
+cost nothing; of the tokens it reaches, the most frequent spelling is
+canonical.  Tokens are the words of alphabetic scripts and, in scripts without
+spaces, a character that looks like one of another script together with the
+two beside it (katakana and Han characters: only what stands beside them tells
+which one is meant).  Everything unmatched, and all other text, is normalised
+by table (``textforms.displayed``).  A paid edit would be visible, so the
+operator asks for matches without cost; the automaton takes any budget.
 """
 
 from __future__ import annotations
@@ -19,17 +23,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mojiforge.llm.neardup import id_filter, place_of
-from mojiforge.llm.textforms import DROP, displayed, fold, points, tables, unpoints
+from mojiforge.llm.textforms import AMBIGUOUS, DROP, displayed, fold, points, tables, unpoints
 from mojiforge.session import settle
 
 LETTER = "A-Za-zÀ-ÖØ-öø-ɏͰ-ϿЀ-ԯḀ-ỿＡ-Ｚａ-ｚ"
 WORD = re.compile(f"[{LETTER}][{LETTER}̀-ͯ­͏​-‏⁠-⁤︀-️﻿]*")
 
 
+BESIDE = re.compile(f"(?s)(?<=.)[{''.join(AMBIGUOUS)}{''.join(AMBIGUOUS.values())}](?=.)")
+SPELLINGS_BROADCAST = 200_000
+
+
 @lru_cache(1 << 16)
 def skeleton(word: str) -> str:
-    return unpoints(fold(points(word)))
+    """What words that look alike have in common."""
+    return unpoints(fold(points(word))).translate(PLAIN)
+
+
+PLAIN = str.maketrans(AMBIGUOUS)
 
 
 def script(word: str) -> str | None:
@@ -84,12 +95,24 @@ class Trie:
         return sorted((cost, n, w) for w, (cost, n) in found.items())
 
 
+def padded(text: str) -> str:
+    """The displayed form between two line ends, so that every character has two beside it."""
+    return f"\n{displayed(text)}\n"
+
+
+def beside(s: str) -> Iterator[tuple[int, str]]:
+    """(place, token of three characters) of the characters in question of a padded text."""
+    for m in BESIDE.finditer(s):
+        yield m.start(), s[m.start() - 1 : m.start() + 2]
+
+
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text) to (word, skeleton, n), counted for each batch."""
     for batch in batches:
         n: Counter = Counter()
         for t in batch.column(0).to_pylist():
             n.update(WORD.findall(t))
+            n.update(w for _, w in beside(padded(t)))
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array([skeleton(w) for w in n], pa.string()), pa.array(list(n.values()), pa.int64())], ["word", "skeleton", "n"])
 
 
@@ -98,36 +121,35 @@ def _spellings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     trie, odd = Trie(), []
     for batch in batches:
         for word, shown, n in zip(*(c.to_pylist() for c in batch.columns)):
-            if word != shown:
-                odd.append((word, shown))
-            if script(word):
+            among = len(word) == 3 and bool(BESIDE.search(word))
+            if word != shown or among:
+                odd.append((word, shown, among))
+            if among or script(word):
                 trie.add(word, n)
     out = []
-    for word, shown in odd:
-        if (best := trie.match(word)) and best[0][2] != shown:
+    for word, shown, among in odd:
+        if (best := trie.match(word)) and best[0][2] != (word if among else shown):
             out.append((word, best[0][2]))
     # A clean spelling of such a class follows the class.
-    known = {skeleton(w): c for w, c in out}
+    known = {skeleton(w): c for w, c in out if not BESIDE.search(w)}
     out += [(s, c) for s, c in known.items()]
     yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in out], pa.string()), pa.array([c for _, c in out], pa.string())], ["word", "canonical"])
 
 
 def spellings(texts: DataFrame, text_col: str) -> DataFrame:
-    """(word, canonical): the words whose canonical spelling is another than their displayed form.
+    """(word, canonical): the tokens whose canonical spelling is another than their displayed form.
 
-    The vocabulary covers all texts.  Words are counted before they are
-    shuffled, and each partition builds the trie of its own words: all words
-    with one displayed form meet in one partition.
+    The vocabulary covers all texts.  Tokens are counted before they are
+    shuffled, and each partition builds the trie of its own tokens: all tokens
+    that the automaton reaches from one another without cost meet in one
+    partition.
     """
     n = texts.select(F.col(text_col).alias("text")).where("text is not null").mapInArrow(_words, "word string, skeleton string, n long")
     n = n.groupBy("word", "skeleton").agg(F.sum("n").alias("n"))
+    # Most classes have one spelling that is also the displayed one.
     return n.repartition("skeleton").mapInArrow(_spellings, "word string, canonical string").distinct()
 
 
-def respell(text: str, by: dict[str, str]) -> str:
-    return WORD.sub(lambda m: by.get(m[0], m[0]), text)
-
-
 def _digest(s: str) -> bytes:
     import xxhash
 
@@ -137,70 +159,69 @@ def _digest(s: str) -> bytes:
 HASHED = "field string, id long, form binary, raw binary"
 
 
-def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(field, id, text[, spelling]) to hashes of the canonical form and of the stored text, blank ones left out."""
-    for batch in batches:
-        rows = []
-        by = batch.column(3).to_pylist() if batch.num_columns > 3 else [None] * batch.num_rows
-        for field, i, text, words in zip(*(batch.column(k).to_pylist() for k in range(3)), by):
-            if s := displayed(text):
-                if words:
-                    s = _respelled(text, dict(words))
-                rows.append((field, i, _digest(s), _digest(text)))
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.binary(), pa.binary()))], ["field", "id", "form", "raw"])
-
-
 def _respelled(text: str, by: dict[str, str]) -> str:
-    """Canonical spellings survive the table: they are put in after it, at the words' places."""
+    """The displayed form with canonical spellings, which survive the table: they are put in after it, at their places."""
     marks: list[str] = []
 
     def keep(m: re.Match) -> str:
-        if (c := by.get(m[0])) is None:
+        if (c := by.get(m[0])) is None or len(marks) >= 0xFFFD:
             return m[0]
         marks.append(c)
-        return chr(0xF0000 + len(marks) - 1) if len(marks) < 0xFFFF else c
-
-    s = displayed(WORD.sub(keep, text))
-    return re.sub("[\U000f0000-\U000ffffd]", lambda m: marks[ord(m[0]) - 0xF0000] if ord(m[0]) - 0xF0000 < len(marks) else m[0], s)
-
+        return chr(0xF0000 + len(marks) - 1)
 
-def _found_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(field, id, text) to (field, id, word) of the words that aren't plain ASCII or may be of a respelled class."""
-    for batch in batches:
-        rows = [(f, i, w) for f, i, t in zip(*(c.to_pylist() for c in batch.columns)) for w in set(WORD.findall(t))]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string()))], ["field", "id", "word"])
+    s = padded(WORD.sub(keep, text))
+    chars = None
+    for at, token in beside(s):
+        if c := by.get(token):
+            chars = chars or list(s)
+            chars[at] = c[1]
+    s = "".join(chars) if chars else s
+    return re.sub("[\U000f0000-\U000ffffd]", lambda m: marks[ord(m[0]) - 0xF0000] if ord(m[0]) - 0xF0000 < len(marks) else m[0], s)[1:-1]
 
 
-def _maybe(bits):
-    import numpy as np
+def _hashes(by_text: bool, shared=None):
+    """(field, id, text[, spellings]) to hashes of the canonical form and of the stored text, blank ones left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(bits.value, np.uint8)
+        common = shared.value if shared is not None else {}
         for batch in batches:
-            place = place_of(batch.column(1).to_numpy(zero_copy_only=False))
-            yield batch.filter(pa.array(((table[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool)))
+            rows = []
+            own = batch.column(3).to_pylist() if by_text else [None] * batch.num_rows
+            for field, i, text, words in zip(*(batch.column(k).to_pylist() for k in range(3)), own):
+                if s := displayed(text):
+                    if by := dict(words) if words else common:
+                        s = _respelled(text, by)
+                    rows.append((field, i, _digest(s), _digest(text)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.binary(), pa.binary()))], ["field", "id", "form", "raw"])
 
     return run
 
 
-def canonical_forms(texts: DataFrame) -> DataFrame:
+def _found_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(field, id, text) to (field, id, word) of the tokens of each text."""
+    for batch in batches:
+        rows = [(f, i, w) for f, i, t in zip(*(c.to_pylist() for c in batch.columns)) for w in {*WORD.findall(t), *(w for _, w in beside(padded(t)))}]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string()))], ["field", "id", "word"])
+
+
+def canonical_forms(texts: DataFrame, broadcast_up_to: int = SPELLINGS_BROADCAST) -> DataFrame:
     """(field, id, form, raw) of ``texts(field, id, text)``: hashes of 128 bits of the
     canonical form and of the stored text.
 
     Equal forms mean equal looks.  Null, empty and blank texts have no row;
-    repeated rows stay.
+    repeated rows stay.  Up to ``broadcast_up_to`` spellings that differ from
+    the table's are sent to all tasks; more of them are joined to the texts
+    that hold them, with the same result.
     """
     texts = texts.select("field", "id", "text").where("id is not null and text is not null")
     other = settle(spellings(texts, "text"))
-    plain = texts.mapInArrow(_hashes, HASHED)
-    if other.isEmpty():
-        return plain
+    n = other.count()
+    if n <= broadcast_up_to:
+        by = {r.word: r.canonical for r in other.collect()}
+        return texts.mapInArrow(_hashes(False, texts.sparkSession.sparkContext.broadcast(by)), HASHED)
     hit = texts.mapInArrow(_found_words, "field string, id long, word string").join(other, "word").distinct()
-    hit = settle(hit.groupBy("field", "id").agg(F.collect_list(F.struct("word", "canonical")).alias("by")))
-    bits = id_filter(hit.select("id"))
-    again = texts.mapInArrow(_maybe(bits), "field string, id long, text string").join(hit, ["field", "id"])
-    again = again.select("field", "id", "text", F.map_from_entries("by").alias("by")).mapInArrow(_hashes, HASHED)
-    return plain.join(hit.select("field", "id"), ["field", "id"], "left_anti").unionByName(again)
+    hit = hit.groupBy("field", "id").agg(F.collect_list(F.struct("word", "canonical")).alias("by"))
+    return texts.join(hit, ["field", "id"], "left").select("field", "id", "text", F.map_from_entries("by").alias("by")).mapInArrow(_hashes(True), HASHED)
 
 
 def same_look_pairs(forms: DataFrame) -> DataFrame:

@@ -92,8 +92,9 @@ def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items that the cutter had to cut elsewhere, and not only because of the overlap: the stretch by itself is too long."""
     cut = cut_items(table(spark, sf_dir, "weixin_corpus"), "row_id", "content")
-    return cut.where(F.col("longest") > LIMIT).select(F.col("id").alias("row_id"))
+    return cut.where((F.col("forced") > 0) & (F.col("longest") > LIMIT)).select(F.col("id").alias("row_id"))
 
 
 @query

@@ -20,8 +20,16 @@ LOOK_ALIKES = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ӏ": "l",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
     "ο": "o", "ν": "v", "ϲ": "c", "ϳ": "j", "ɑ": "a", "ɡ": "g", "Ꭺ": "A", "Ꮯ": "C", "Ꭼ": "E", "Ꮋ": "H", "Ꮮ": "L", "Ꮲ": "P", "Ꭲ": "T", "Ꮪ": "S", "µ": "μ",
-    "∶": ":", "։": ":", "‐": "-", "‑": "-", "−": "-", "⁄": "/", "∕": "/",
+    "к": "k", "ѵ": "v", "ρ": "p", "υ": "u", "ι": "i", "օ": "o", "ո": "n", "ս": "u", "ⅼ": "l", "ⅽ": "c", "ⅾ": "d", "ⅿ": "m", "ⅰ": "i", "ⅴ": "v", "ⅹ": "x", "Ⅰ": "I", "Ⅴ": "V", "Ⅹ": "X", "Ⅼ": "L", "Ⅽ": "C", "Ⅾ": "D", "Ⅿ": "M",
+    "∶": ":", "։": ":", "‐": "-", "‑": "-", "−": "-", "⁄": "/", "∕": "/", "‒": "–", "―": "—", "ʼ": "’", "‛": "‘", "․": ".",
 }
+# Single signs that are drawn like several letters.
+LIGATURES = {
+    "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "Ⅱ": "II", "Ⅲ": "III", "Ⅳ": "IV", "Ⅵ": "VI", "Ⅶ": "VII", "Ⅷ": "VIII", "Ⅸ": "IX", "Ⅺ": "XI", "Ⅻ": "XII",
+    "ⅱ": "ii", "ⅲ": "iii", "ⅳ": "iv", "ⅵ": "vi", "ⅶ": "vii", "ⅷ": "viii", "ⅸ": "ix", "ⅺ": "xi", "ⅻ": "xii", "‥": "..", "ł": "l\u0335", "Ł": "L\u0335",
+}
+# Kana that are drawn like Han characters or like other kana.  Which one is meant depends on the characters beside it.
+AMBIGUOUS = {"エ": "工", "カ": "力", "ニ": "二", "ロ": "口", "タ": "夕", "ト": "卜", "ハ": "八", "ノ": "丿", "ー": "一", "ヘ": "へ", "ベ": "べ", "ペ": "ぺ"}
 # CJK radical forms without a compatibility mapping, and the characters they look like.
 RADICALS = {
     "⺀": "冫", "⺁": "厂", "⺄": "乙", "⺅": "亻", "⺆": "冂", "⺈": "刀", "⺉": "刂", "⺊": "卜", "⺌": "小", "⺍": "小", "⺎": "兀", "⺏": "尣", "⺒": "巳", "⺓": "幺", "⺔": "彑",
@@ -35,7 +43,7 @@ RADICALS = {
 # Characters without a picture that Unicode doesn't class as Cf.
 INVISIBLE = (0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0x180B, 0x1810), *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0))
 # The blocks of code points that hold all those with another displayed form.
-CHANGING = ((0x0, 0x3400), (0xA640, 0xABF0), (0xF900, 0x10000), (0x11000, 0x11D00), (0x1BCA0, 0x1BCB0), (0x1D150, 0x1D250), (0x1E000, 0x1E960), (0x2F800, 0x2FA20), (0xE0000, 0xE0200))
+CHANGING = ((0x0, 0x3400), (0xA640, 0xABF0), (0xF900, 0x10000), (0x11000, 0x11D00), (0x1BCA0, 0x1BCB0), (0x1D150, 0x1D250), (0x1D400, 0x1D800), (0x1E000, 0x1E960), (0x2F800, 0x2FA20), (0xE0000, 0xE0200))
 DROP = 0xFFFFFFFF
 MAX = 0x110000
 
@@ -60,13 +68,15 @@ def tables() -> tuple[np.ndarray, np.ndarray]:
             # Precomposed letters whose base has a look-alike, singletons and compositions excluded from NFC.
             base = unicodedata.normalize("NFD", ch)
             odd[c] = unicodedata.normalize("NFC", ch) != ch or base[0] in LOOK_ALIKES
-        elif d and d.split()[0] in ("<wide>", "<narrow>") and len(d.split()) == 2:
+        elif d and d.split()[0] in ("<wide>", "<narrow>", "<small>", "<font>") and len(d.split()) == 2:
             to[c] = int(d.split()[1], 16)
         elif 0x2E80 <= c <= 0x2FD5 and d:
             to[c] = int(d.split()[-1], 16)
     for table in (LOOK_ALIKES, RADICALS):
         for a, b in table.items():
             to[ord(a)] = ord(b)
+    for c in LIGATURES:
+        odd[ord(c)] = True
     for c in INVISIBLE:
         to[c] = DROP
     odd[0xFF9E] = odd[0xFF9F] = True
@@ -88,7 +98,10 @@ def fold(a: np.ndarray) -> np.ndarray:
     """Code points of the displayed form, without trimming."""
     to, odd = tables()
     if odd.take(a).any():
-        b = to[points(unicodedata.normalize("NFD", unpoints(a)))]
+        s = unpoints(a)
+        for c, many in LIGATURES.items():
+            s = s.replace(c, many)
+        b = to[points(unicodedata.normalize("NFD", s))]
         s = unicodedata.normalize("NFC", unpoints(b[b != DROP]))
         b = to[points(s.replace("ํา", "ำ"))]
     else:
@@ -101,8 +114,8 @@ def displayed(text: str | None) -> str | None:
 
     Full and half width, kinds of space, white space at the ends of the text
     or before a line break, kinds of line end and invisible characters make no
-    difference; letters of other scripts that look alike and CJK radical forms
-    become one letter; accents are composed.  Null stays null; blank becomes
+    difference; letters of other scripts that look alike, ligatures and CJK radical
+    forms become plain letters; accents are composed.  Null stays null; blank becomes
     empty.  Case, raised or circled digits, simplified and traditional
     characters, spaces inside and line breaks do differ.
     """

@@ -49,6 +49,35 @@ def test_spelling_from_vocabulary(spark):
     assert got["пpивeт"] == "привет" and "ΒΟΜ" not in got
 
 
+PLANTED = [
+    ("老站长在エ厂门口等人", "老站长在工厂门口等人"), ("人ロ比去年多了", "人口比去年多了"), ("第ニ天努カ工作", "第二天努力工作"), ("ｃａｆé", "café"), ("cafe\u0301", "café"), ("a\u00a0b", "a b"), ("a\u3000b\u200b", "a b"), ("Ⅻ", "XII"), ("ﬁne", "fine"),
+    ("﹐甲﹣", ",甲-"), ("\U0001d5a0x", "Ax"), ("⼯人", "工人"), ("ѵine", "vine"), ("ガラス", "ｶﾞﾗｽ"), ("エンジン", "工ンジン"), ("ราคา\u0e4d\u0e32", "ราคา\u0e33"),
+]
+DIFFERENT = [("ABC", "abc"), ("第1", "第①"), ("第1", "第¹"), ("图书馆", "圖書館"), ("甲乙", "甲 乙"), ("甲\n乙", "甲乙"), ("エビ", "工人"), ("好!", "好。")]
+
+
+@pytest.mark.parametrize("limit", [1000, 0])
+def test_planted_looks(spark, limit):
+    texts = [t for pair in PLANTED + DIFFERENT for t in pair]
+    # What stands beside them elsewhere tells which one is meant.
+    texts += ["他在工厂门口", "在工厂门口", "本市人口比去年", "第二天", "努力工作", "エンジン"]
+    df = spark.createDataFrame([("f", i, t) for i, t in enumerate(texts)] + [("f", 0, texts[0]), ("f", 900, None), ("f", 901, " ")], "field string, id long, text string")
+    got = {tuple(r)[1:] for r in canonical.same_look_pairs(canonical.canonical_forms(df, limit)).collect()}
+    assert got >= {(2 * i, 2 * i + 1) for i in range(len(PLANTED))}
+    apart = 2 * len(PLANTED)
+    assert not {(apart + 2 * i, apart + 2 * i + 1) for i in range(len(DIFFERENT))} & got
+
+
+def test_kana_pairs_need_the_trie(spark, monkeypatch):
+    df = spark.createDataFrame([("f", 1, "老站长在エ厂门口等人"), ("f", 2, "老站长在工厂门口等人")], "field string, id long, text string")
+    assert canonical.same_look_pairs(canonical.canonical_forms(df)).count() == 1
+    by = {r.word: r.canonical for r in canonical.spellings(df, "text").collect()}
+    assert len(by) == 1 and {*by, *by.values()} == {"在エ厂", "在工厂"}
+    none = spark.createDataFrame([], "word string, canonical string")
+    monkeypatch.setattr(canonical, "spellings", lambda *_: none)
+    assert canonical.same_look_pairs(canonical.canonical_forms(df)).count() == 0
+
+
 def test_cross_split(spark):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("园木花书河城山灯石风雨竹布铁糖米茶酒车船桥路门窗桌椅杯盘笔纸") for _ in range(3))
