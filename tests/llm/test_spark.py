@@ -234,3 +234,30 @@ def test_cut_off(spark):
     r = truncation.cut_report(df, "id", "source", truncation.cut_off(df, "id", "source", "text", WORDS)).first()
     assert r.cut_off == 5 and r.documents == len(rows)
     assert truncation.cut_off(df.where(F.lit(False)), "id", "source", "text", WORDS).count() == 0
+
+
+def _cut_corpus(seed: int):
+    rng = random.Random(seed)
+    who, what = ["园丁", "木匠", "编辑", "会计"], ["新鲜的苹果", "陈旧的书架", "漂亮的花盆", "便宜的雨伞"]
+    return rng, lambda: "".join(f"{rng.choice(who)}把{rng.choice(what)}送到了公园。{rng.choice(who)}检查了{rng.choice(what)}。" for _ in range(4))
+
+
+@pytest.mark.parametrize("copies", [1, 2, 3, 6, 100])
+def test_many_texts_with_one_cut_tail(spark, copies):
+    _, full = _cut_corpus(copies)
+    rows = [(i, "s", f"第{i}天。" + full()) for i in range(300)]
+    rows += [(1000 + i, "s", f"第{i}天。" + full() + "\n木匠把陈旧的书") for i in range(copies)]
+    rows += [(2000 + i, "s", f"第{i}天。" + full() + "\n【全文完】") for i in range(copies)]
+    df = spark.createDataFrame(rows, "id long, source string, text string")
+    assert {r.id for r in truncation.cut_off(df, "id", "source", "text", WORDS).collect()} == {1000 + i for i in range(copies)}
+
+
+def test_cut_word_of_a_spaced_script(spark):
+    rng = random.Random(8)
+    things = ["kettle", "compass", "lantern", "tapestry", "notebook"]
+    line = lambda: f"The {rng.choice(things)} was near the {rng.choice(things)}"
+    rows = [(i, "s", ". ".join(line() for _ in range(4)) + ".") for i in range(200)]
+    # Lines without full stops: only the final token tells.
+    rows += [(1000, "s", "\n".join([line(), line(), "The kettle was near the tapes"])), (1001, "s", "\n".join([line(), line(), "The kettle was near the tapestry"]))]
+    df = spark.createDataFrame(rows, "id long, source string, text string")
+    assert {r.id for r in truncation.cut_off(df, "id", "source", "text", WORDS).collect()} == {1000}
