@@ -14,7 +14,7 @@ from mojiforge.llm.neardup import near_duplicate_classes, near_duplicate_pairs
 from mojiforge.llm.overlap import EVAL, TRAIN, cross_split_pairs
 from mojiforge.llm.quality import STATISTICS, not_prose
 from mojiforge.llm.sentences import split_sentences
-from mojiforge.llm.tokens import count_tokens, decode_ids, encode_texts
+from mojiforge.llm.tokens import count_tokens, decode_ids, encode_by_word_table, encode_texts
 from mojiforge.llm.truncation import cut_off, cut_report
 from mojiforge.session import settle
 
@@ -128,6 +128,12 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
+@query
+def p7_by_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same ids by one table of distinct words and joins by position."""
+    return encode_by_word_table(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
 @query
 def p7_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text put together from its ids again."""

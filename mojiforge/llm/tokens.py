@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mojiforge.session import settle
+
 # Fixed value: the pattern that goes with the vocabulary's merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 TABLE_WORDS = 1 << 18
@@ -103,6 +105,59 @@ def encode_texts(df: DataFrame, id_col: str, text_col: str, path: str | None = N
     return rows.mapInArrow(_encoded(share_vocabulary(df.sparkSession, path), False), "id long, ids array<int>")
 
 
+def _split(distinct: bool):
+    """(id, text) to the distinct (word) of each batch, or to (id, word, places), a row for each distinct word of a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        split = regex.compile(PATTERN).findall
+        for batch in batches:
+            if distinct:
+                words = {w for t in batch.column(1).to_pylist() if t for w in split(t)}
+                yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string())], ["word"])
+                continue
+            ids, found, places = [], [], []
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                at: dict[str, list[int]] = {}
+                for k, w in enumerate(split(t) if t else ()):
+                    at.setdefault(w, []).append(k)
+                ids += [i] * len(at)
+                found += at
+                places += at.values()
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string()), pa.array(places, pa.list_(pa.int32()))], ["row", "word", "places"])
+
+    return run
+
+
+def _encoded_words(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = word_table(shared).encode_word
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([list(encode(w)) for w in words], pa.list_(pa.int32()))], ["word", "ids"])
+
+    return run
+
+
+def encode_by_word_table(df: DataFrame, id_col: str, text_col: str, path: str | None = None) -> DataFrame:
+    """``encode_texts`` by one table of distinct words for all tasks: words are split, each distinct one is encoded
+    once, and a text's ids are joined from the table by position.
+
+    Every distinct word of a text is moved to its row of the table and its ids
+    are moved back, which is more than the input where words are long and
+    rare, as in scripts without spaces.
+    """
+    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = settle(rows)
+    texts = rows.select("row", "text")
+    words = texts.mapInArrow(_split(True), "word string").distinct().mapInArrow(_encoded_words(share_vocabulary(df.sparkSession, path)), "word string, ids array<int>")
+    placed = texts.mapInArrow(_split(False), "row long, word string, places array<int>").join(words, "word")
+    each = placed.select("row", F.explode("places").alias("place"), "ids").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("place", "ids"))).alias("by"))
+    ids = F.coalesce(F.flatten(F.col("by.ids")), F.array().cast("array<int>"))
+    return rows.select("row", "id").join(each, "row", "left").select("id", ids.alias("ids"))
+
+
 def count_tokens(df: DataFrame, columns: list[str], text_col: str, path: str | None = None) -> DataFrame:
     """``columns`` and n_tokens (0 for null and empty texts) of every row."""
     rows = df.select(*columns, F.col(text_col).alias("__text"))

@@ -144,6 +144,8 @@ def test_tokens(spark):
     enc = tokens.encode_texts(df, "ids", "text")
     got = {r.id: r.ids for r in enc.collect()}
     assert got == {i: t.encode(x or "", add_special_tokens=False).ids for i, x in enumerate(texts)}
+    assert {r.id: r.ids for r in tokens.encode_by_word_table(df, "ids", "text").collect()} == got
+    assert tokens.encode_by_word_table(df.unionByName(df), "ids", "text").count() == 2 * len(texts)
     assert {r.id: r.text for r in tokens.decode_ids(enc).collect()} == {i: x or "" for i, x in enumerate(texts)}
     assert {r.ids: r.n_tokens for r in tokens.count_tokens(df, ["ids"], "text").collect()} == {i: len(x) for i, x in got.items()}
     assert tokens.encode_texts(df.limit(0), "ids", "text").count() == 0
