@@ -99,6 +99,12 @@ def split_tokens(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(r"[!-~]+|[^ !-~]"), 0)
 
 
+def words_of(c: Column) -> Column:
+    """The runs of a text between white space; a text of white space only is one, an empty or null one none."""
+    runs = F.filter(F.split(c, r"(?U)\s+", -1), lambda x: x != "")
+    return F.when(F.coalesce(F.length(c), F.lit(0)) == 0, F.array().cast("array<string>")).when(F.size(runs) == 0, F.array(c)).otherwise(runs)
+
+
 def drop_repeated(tokens: Column) -> Column:
     """Without tokens equal to the one before."""
     return let(tokens, lambda t: F.filter(t, lambda x, i: (i == 0) | (x != F.get(t, i - 1))))
@@ -146,7 +152,7 @@ def plural_label(source: Column, target: Column) -> Column:
 
 
 def transform_token(token: Column, label: Column) -> Column:
-    """Applies a case, split or agreement transform; other labels leave the token."""
+    """Applies a case, split or agreement transform; other labels leave the token, an unknown transform fails."""
     n = F.char_length(token)
     return (
         F.when(label == "$TRANSFORM_CASE_LOWER", F.lower(token))
@@ -157,6 +163,7 @@ def transform_token(token: Column, label: Column) -> Column:
         .when(label == "$TRANSFORM_SPLIT_HYPHEN", F.replace(token, F.lit("-"), F.lit(" ")))
         .when(label == "$TRANSFORM_AGREEMENT_PLURAL", F.concat(token, F.lit("s")))
         .when(label == "$TRANSFORM_AGREEMENT_SINGULAR", F.substring(token, F.lit(1), n - 1))
+        .when(F.startswith(label, F.lit("$TRANSFORM")) & ~F.startswith(label, F.lit("$TRANSFORM_VERB_")), F.raise_error(F.concat(F.lit("unknown transform "), label)).cast("string"))
         .otherwise(token)
     )
 

@@ -60,11 +60,21 @@ def sound_similarity(a: Column, b: Column) -> Column:
     return F.when(F.size(known) > 0, F.aggregate(each, F.lit(0.0), lambda s, x: s + x) / F.size(known))
 
 
-def character_similarity(pairs: DataFrame, meta: DataFrame, weights: tuple[float, float] = (0.8, 0.2)) -> DataFrame:
-    """(a, b, similarity) of ``pairs(a, b)`` by ``meta(char, shapes, sounds)``; 0 where a character is unknown."""
-    m = lambda s: meta.select(F.col("char").alias(s), F.col("shapes").alias(f"shapes_{s}"), F.col("sounds").alias(f"sounds_{s}"))
+def character_similarity(pairs: DataFrame, meta: DataFrame, weights: tuple[float, float, float] = (0.8, 0.2, 0.0)) -> DataFrame:
+    """(a, b, similarity) of ``pairs(a, b)`` by ``meta(char, shapes, sounds[, place])``; 0 where a character is unknown.
+
+    The weights are of shape, sound and frequency: how early the second
+    character's ``place`` comes among all of them, asked for only with a
+    third weight.
+    """
+    third = weights[2] if len(weights) > 2 else 0.0
+    if third:
+        size = meta.agg(F.count("*").alias("n")).first()["n"]
+        meta = meta.withColumn("early", 1.0 - F.col("place") / size)
+    early = F.col("early") if third else F.lit(0.0)
+    m = lambda s: meta.select(F.col("char").alias(s), F.col("shapes").alias(f"shapes_{s}"), F.col("sounds").alias(f"sounds_{s}"), early.alias(f"early_{s}"))
     x = pairs.join(m("a"), "a", "left").join(m("b"), "b", "left")
-    total = weights[0] * best_similarity(F.col("shapes_a"), F.col("shapes_b")) + weights[1] * F.coalesce(sound_similarity(F.col("sounds_a"), F.col("sounds_b")), F.lit(0.0))
+    total = weights[0] * best_similarity(F.col("shapes_a"), F.col("shapes_b")) + weights[1] * F.coalesce(sound_similarity(F.col("sounds_a"), F.col("sounds_b")), F.lit(0.0)) + third * F.col("early_b")
     return x.select("a", "b", F.when(F.col("shapes_a").isNull() | F.col("shapes_b").isNull(), 0.0).otherwise(total).alias("similarity"))
 
 

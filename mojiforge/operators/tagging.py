@@ -52,6 +52,29 @@ def ensemble(rows: DataFrame, weights: DataFrame) -> DataFrame:
     return x.join(F.broadcast(total)).select("row", "pos", "label", (F.col("s") / F.col("total")).alias("p"))
 
 
+def decode_labels(rows: DataFrame, id_col: str, vocabulary: DataFrame, ignored: int = -100) -> DataFrame:
+    """``rows`` with a column ``tag``: the tag of each id by ``vocabulary(id, tag)``; the ignored id stays as it is, unknown ones are null."""
+    v = vocabulary.select(F.col("id").alias(id_col), "tag")
+    out = rows.join(v, id_col, "left")
+    return out.withColumn("tag", F.when(F.col(id_col) == ignored, F.lit(str(ignored))).otherwise(F.col("tag")))
+
+
+def predict(rows: DataFrame, key: str, tokens: str, logits: list[str], vocabulary: DataFrame, weights: list[float] | None = None, bias: float = 0.0, k: int = 1) -> DataFrame:
+    """(key, pos, token, rank, tag, p): the k most probable tags of every token.
+
+    ``logits``: one column for each model, an array for each place of an array
+    over the tags; place 0 is the start token's and is dropped.  Soft-max, the
+    models' weighted mean and the keep bias come before the choice; of equal
+    probabilities the smaller id comes first.  Places without a token or
+    tokens without a place are left out, null rows as well.
+    """
+    at = rows.select(key, tokens, *logits, F.posexplode(tokens).alias("pos", "token"))
+    mean = weighted_mean([softmax(F.get(F.col(c), F.col("pos") + 1)) for c in logits], weights)
+    best = at.where(F.get(F.col(logits[0]), F.col("pos") + 1).isNotNull()).select(key, "pos", "token", F.posexplode(top_labels(keep_bias(mean, bias), k)).alias("rank", "t"))
+    tagged = decode_labels(best.select(key, "pos", "token", (F.col("rank") + 1).alias("rank"), F.col("t.label").alias("label"), F.col("t.p").alias("p")), "label", vocabulary)
+    return tagged.select(key, "pos", "token", "rank", "tag", "p")
+
+
 def correct_until_stable(rows: DataFrame, key: str, text_col: str, tagger: Callable[[list[str]], list[str]], rounds: int) -> DataFrame:
     """(key, corrected, n_rounds): applies a batch corrector up to ``rounds`` times to the texts that still change.
 

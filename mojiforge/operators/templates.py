@@ -6,9 +6,11 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mojiforge.functions.text import strip
+
 # A span with one of these isn't corrected.
 STOP_TOKENS = ("。", "，", "：", "、", "？", "！", "及", "和", "或", "而", "且", "但")
 MAX_PATTERNS = 100_000
@@ -71,6 +73,14 @@ def correct(rows: DataFrame, key: str, text_col: str, templates: DataFrame) -> D
     return out.withColumnRenamed("key", key)
 
 
+def correct_file(spark: SparkSession, source: str, target: str, templates: DataFrame) -> None:
+    """The stripped lines of a text file or folder, corrected and written to another, in order."""
+    from mojiforge.sources.files import numbered_lines, write_lines
+
+    lines = numbered_lines(spark, source).select("line", strip(F.col("value")).alias("value"))
+    write_lines(correct(lines, "line", "value", templates), target, "corrected", ["line"])
+
+
 def fix_counts(corrected: DataFrame) -> DataFrame:
     """One row: texts with a correction and corrections."""
     return corrected.agg(F.coalesce(F.sum((F.col("fixes") > 0).cast("long")), F.lit(0)).alias("sentence_num"), F.coalesce(F.sum("fixes"), F.lit(0)).alias("error_num"))

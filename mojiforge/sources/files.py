@@ -5,6 +5,9 @@ from __future__ import annotations
 import json
 import os
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,6 +126,38 @@ def write_lines(rows: DataFrame, path: str, col: str, order: list[str] | None =
     out.select(F.col(col).cast("string").alias("value")).write.mode(mode).text(path)
 
 
+def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The records of a file of JSON lines; blank lines are skipped, missing fields are null."""
+    return spark.read.schema(schema).json(path).where(" or ".join(f"`{c.split()[0]}` is not null" for c in schema.split(", ")))
+
+
+def _bracketed(opening: str, closing: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = opening
+        for batch in batches:
+            lines = [held, *(x + "," for x in batch.column(0).to_pylist())]
+            if len(lines) > 1:
+                held = lines.pop()[:-1]
+                yield pa.RecordBatch.from_arrays([pa.array(lines)], ["value"])
+        yield pa.RecordBatch.from_arrays([pa.array([held, closing])], ["value"])
+
+    return run
+
+
+def write_json_arrays(rows: DataFrame, path: str, order: list[str]) -> None:
+    """A folder of JSON arrays, one for each partition, in order: what ``read_pairs_json`` reads; no row passes the driver."""
+    names = [c for c in rows.columns]
+    out = rows.repartitionByRange(*order).sortWithinPartitions(*order).select(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("value"))
+    out.mapInArrow(_bracketed("[", "]"), "value string").write.mode("overwrite").text(path)
+
+
+def write_dictionary(rows: DataFrame, path: str) -> None:
+    """``rows(key, value)`` as JSON objects, one for each partition: what ``read_dictionary`` reads."""
+    name = F.regexp_replace(F.to_json(F.struct(F.col("key").alias("k"))), r'^\{"k":|\}$', "")
+    value = F.regexp_replace(F.to_json(F.struct(F.col("value").alias("v"))), r'^\{"v":|\}$', "")
+    rows.where("key is not null and value is not null").select(F.concat(name, F.lit(": "), value).alias("value")).mapInArrow(_bracketed("{", "}"), "value string").write.mode("overwrite").text(path)
+
+
 def write_json_array(rows: DataFrame, path: str, order: list[str], indent: int = 4) -> None:
     """A JSON array in one local file; rows stream to the driver partition by partition."""
     with open(path, "w", encoding="utf-8") as f:
@@ -149,6 +184,29 @@ def prediction_blocks(rows: DataFrame) -> DataFrame:
     return rows.select("id", (F.col("target") == F.col("pred")).alias("is_correct"), block.alias("block"))
 
 
+def write_reports(rows: DataFrame, path: str) -> None:
+    """The blocks of right and wrong predictions below ``path``, by is_correct, and their numbers by type below ``path``_counts."""
+    blocks = prediction_blocks(rows).withColumn("is_correct", F.coalesce("is_correct", F.lit(False)))
+    blocks.select("is_correct", F.substring(F.col("block"), F.lit(1), F.char_length("block") - 1).alias("value")).write.mode("overwrite").partitionBy("is_correct").text(path)
+    counts = rows.groupBy("type").agg(F.count("*").alias("n"), F.count_if(~F.col("target").eqNullSafe(F.col("pred"))).alias("wrong"))
+    counts.write.mode("overwrite").json(f"{path}_counts")
+
+
+def read_reports(spark: SparkSession, path: str) -> DataFrame:
+    """(id, source, target, pred, type) of report files, their blocks divided by blank lines."""
+    part = r"^(\d+)\nsrc: (.*)\ntgt: (.*)\npre: (.*)\n(\w+)$"
+    rows = spark.read.option("lineSep", "\n\n").text(path).where(F.col("value").rlike(part))
+    get = lambda k: F.regexp_extract("value", part, k)
+    return rows.select(get(1).cast("long").alias("id"), get(2).alias("source"), get(3).alias("target"), get(4).alias("pred"), get(5).alias("type"))
+
+
+def merge_token_pairs(spark: SparkSession, folder: str, path: str) -> DataFrame:
+    """All files of token pairs in a folder, cleaned on both sides, as one table of (aug, src) lines written to ``path``; returns it as read again."""
+    rows = read_token_pairs(spark, folder)
+    write_pairs_tsv(rows.select(F.col("source").alias("aug"), F.col("target").alias("src")), path)
+    return read_tsv_pairs(spark, path)
+
+
 def read_token_pairs(spark: SparkSession, path: str, keep_id: bool = False) -> DataFrame:
     """([id,] source, target) of JSON lines whose source is a list of tokens and whose key is ID; cleaned, blank ones dropped."""
     rows = spark.read.schema("ID string, source array<string>, target string").json(path)
@@ -159,13 +217,13 @@ def read_token_pairs(spark: SparkSession, path: str, keep_id: bool = False) -> D
 
 def read_dictionary(spark: SparkSession, path: str, value: str = "long") -> DataFrame:
     """(key, value) of a JSON object in one file."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.explode(F.from_json("value", f"map<string,{value}>")))
 
 
 def read_confusion_sets(spark: SparkSession, synonyms: str, word_sounds: str, shapes: str, char_sounds: str) -> dict[str, DataFrame]:
     """The four candidate tables: (gid, words) of the two-level sets, (key, tokens) of the sound buckets."""
-    two = lambda p: spark.read.option("wholetext", True).text(p).select(F.explode(F.from_json("value", "index_val map<string,array<string>>")["index_val"])).select(F.col("key").cast("long").alias("gid"), F.col("value").alias("words"))
+    two = lambda p: spark.read.text(p, wholetext=True).select(F.explode(F.from_json("value", "index_val map<string,array<string>>")["index_val"])).select(F.col("key").cast("long").alias("gid"), F.col("value").alias("words"))
     one = lambda p: read_dictionary(spark, p, "array<string>").select("key", F.col("value").alias("tokens"))
     return {"synonyms": two(synonyms), "word_homoPY": one(word_sounds), "simChar": two(shapes), "char_homoPY": one(char_sounds)}
 
@@ -190,6 +248,28 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
 
 
+def parse_edits(lines: DataFrame) -> DataFrame:
+    """(line, edits) of numbered lines "[[(start, end, 'wrong', ['right words']), ...]]"; edits (s, e, words) by their first correction."""
+    one = r"""[(\[](\d+), *(\d+), *(?:'[^']*'|"[^"]*"), *\[(?:'([^']*)'|"([^"]*)")"""
+    part = lambda k: F.regexp_extract_all("value", F.lit(one), k)
+    words = lambda a, b: F.filter(F.split(F.concat(a, b), r"\s+"), lambda x: x != "")
+    each = F.transform(F.arrays_zip(part(1).alias("s"), part(2).alias("e"), part(3).alias("a"), part(4).alias("b")), lambda z: F.struct(z["s"].cast("int").alias("s"), z["e"].cast("int").alias("e"), words(z["a"], z["b"]).alias("words")))
+    return lines.select("line", each.alias("edits"))
+
+
+def read_gold(spark: SparkSession, sentences: str, edits: str, inputs: str) -> DataFrame:
+    """(id, source, target): the sentences of a gold file with their edits put in; the three files must be of one length."""
+    gold = _renumbered(parse_gold(numbered_lines(spark, sentences)))
+    rows = gold.join(parse_edits(numbered_lines(spark, edits)), "line", "full").join(numbered_lines(spark, inputs).select("line", "value"), "line", "full")
+    whole = F.when(F.col("tokens").isNull() | F.col("edits").isNull() | F.col("value").isNull(), F.raise_error(F.lit("files of different length")).cast("array<string>")).otherwise(F.col("tokens"))
+    return gold_to_texts(rows.select(F.col("line").alias("id"), whole.alias("tokens"), "edits"))
+
+
+def _renumbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with consecutive lines in the order they had."""
+    return line_ids(rows.withColumnRenamed("line", "__before"), ["__before"]).drop("__before")
+
+
 def parse_gold(lines: DataFrame) -> DataFrame:
     """(line, tokens) of the sentence lines "S token token" of numbered lines."""
     return lines.where(F.startswith("value", F.lit("S "))).select("line", F.split(F.substring("value", 3, 1 << 30), " ").alias("tokens"))
