@@ -58,52 +58,59 @@ def _once(rows: DataFrame, **columns: Column) -> DataFrame:
     return made.select(*rows.columns, *[F.col(f"{name}.{k}").alias(k) for k in columns])
 
 
-def statistics(df: DataFrame, text_col: str, words: list[tuple[str, str]], names: tuple[str, ...] = STATISTICS) -> DataFrame:
-    """``df`` with a column ``q`` holding a struct of STATISTICS (or of those in ``names``), all double; null for null, empty and blank texts.
-
-    Ratios are of the characters that aren't white space (``space_ratio``: of
-    all).  ``clause_share``: those in lines with a clause-marking word or a
-    closing mark, runs of repetition left out; ``variety``: logarithm of the
-    distinct characters over that of all.
-    """
+def _prepared(df: DataFrame, text_col: str, words: list[tuple[str, str]]) -> tuple[DataFrame, dict[str, Column]]:
+    """``df`` with the columns __t, __lines, __n and __variety, and the statistics as expressions over them."""
     common, clause = word_patterns(words)
     t = F.col("__t")
     rows = _once(df, __t=plain(F.col(text_col)))
     count = lambda p: F.regexp_count(t, F.lit(p)).cast("double")
-    n = F.greatest(count(r"(?U)\S"), F.lit(1.0))
+    # Characters of a class: what is lost without their runs, which takes one match for each run.
+    share = lambda p: (F.length(t) - F.length(F.regexp_replace(t, f"{p}+", ""))).cast("double")
+    spaces = share(r"(?U)\s")
+    n = F.greatest(F.length(t) - spaces, F.lit(1.0))
     lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.trim(x)) > 0)
     width = lambda x: F.length(F.regexp_replace(x, r"(?U)\s+", ""))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + width(x))
     closing = r"[。.!?…।][”」』\")）\]]*\s*$"
     barred = r"\t|\|.*\||</t[dr]>|   "  # fields of a table
     prose = lambda x: (x.rlike(clause) | x.rlike(closing)) & ~x.rlike(barred) & ~x.rlike(r"(.{2,40}?)\1{3,}")
-    spaces = F.regexp_count(t, F.lit(r"(?U)\s")).cast("double")
     n_words = F.greatest(count(r"[\p{L}\p{M}\p{N}]+"), F.lit(1.0))
     n_lines = F.greatest(F.size(lines), F.lit(1)).cast("double")
-    variety = F.log(F.greatest(F.size(F.array_distinct(F.split(t, ""))), F.lit(2)).cast("double")) / F.log(n + 2)
-    rows = _once(rows, __lines=lines, __n=n, __variety=variety)
+    variety = F.log(F.greatest(F.size(F.array_distinct(F.split(t, ""))), F.lit(2)).cast("double")) / F.log(F.col("__n") + 2)
+    rows = _once(rows, __lines=lines, __n=n)
     n = F.col("__n")
-    values = {
+    return rows, {
         "n_chars": n,
         "n_lines": n_lines,
         "mean_line": n / n_lines,
         "n_words": n_words,
-        "mean_word": count(r"[\p{L}\p{M}\p{N}]") / n_words,
+        "mean_word": share(r"[\p{L}\p{M}\p{N}]") / n_words,
         "longest_word": F.coalesce(F.array_max(F.transform(F.regexp_extract_all(t, F.lit(r"[\p{L}\p{M}\p{N}+/=&#;]{24,}"), 0), lambda x: F.length(x))), F.lit(0)).cast("double"),
-        "letter_ratio": count(r"[\p{L}\p{M}]") / n,
-        "han_ratio": count(r"\p{IsHan}") / n,
-        "digit_ratio": count(r"\p{N}") / n,
-        "symbol_ratio": count(r"[\p{S}\p{Cc}&&[^\n\t\r]]") / n,
+        "letter_ratio": share(r"[\p{L}\p{M}]") / n,
+        "han_ratio": share(r"\p{IsHan}") / n,
+        "digit_ratio": share(r"\p{N}") / n,
+        "symbol_ratio": share(r"[\p{S}\p{Cc}&&[^\n\t\r]]") / n,
         "space_ratio": spaces / (n + spaces),
-        "separator_ratio": count(r"[\t|/>#、;<=,&]") / n,
+        "separator_ratio": share(r"[\t|/>#、;<=,&]") / n,
         "ending_lines": F.size(F.filter("__lines", lambda x: x.rlike(closing))) / n_lines,
         "clause_share": total(F.filter("__lines", prose)) / n,
         "common_ratio": count(common) / n,
-        "variety": F.col("__variety"),
+        "variety": variety,
         "marks_ratio": count(r"[。!?…।.][^\p{N}a-z]|[。.!?…।]$") / n,
     }
+
+
+def statistics(df: DataFrame, text_col: str, words: list[tuple[str, str]], names: tuple[str, ...] = STATISTICS) -> DataFrame:
+    """``df`` with a column ``q`` holding a struct of STATISTICS (or of those in ``names``), all double; null for null, empty and blank texts.
+
+    Ratios are of the characters that aren't white space (``space_ratio``: of
+    all).  ``clause_share``: those in lines with a clause-marking word or a
+    closing mark, runs of repetition left out; ``variety``: logarithm of the
+    distinct characters over that of all.
+    """
+    rows, values = _prepared(df, text_col, words)
     q = F.struct(*[values[k].cast("double").alias(k) for k in names])
-    return _once(rows, q=F.when(t.rlike(r"(?U)\S"), q)).drop("__t", "__lines", "__n", "__variety")
+    return _once(rows, q=F.when(F.col("__t").rlike(r"(?U)\S"), q)).drop("__t", "__lines", "__n")
 
 
 # --- rules ---------------------------------------------------------------------------------------------------------------------------
@@ -180,6 +187,18 @@ def verdict_sql(rules: list[list[list]], column: str = "q") -> str:
     return f"CASE WHEN {column} IS NULL THEN NULL {whens} ELSE false END"
 
 
+def verdict(rules: list[list[list]], values: dict[str, Column], known: Column) -> Column:
+    """The same CASE over the expressions themselves: a statistic is computed only where the rules before it leave the text open."""
+    out = F.when(~known, F.lit(None).cast("boolean"))
+    for rule in rules:
+        holds = None
+        for name, op, cut in rule:
+            one = values[name] <= cut if op == "<=" else values[name] > cut
+            holds = one if holds is None else holds & one
+        out = out.when(holds, True)
+    return out.otherwise(False)
+
+
 def load_rules(path: Path = RULES) -> list[list[list]]:
     return json.loads(path.read_text())["rules"]
 
@@ -187,8 +206,13 @@ def load_rules(path: Path = RULES) -> list[list[list]]:
 def not_prose(df: DataFrame, text_col: str, words: list[tuple[str, str]], names: tuple[str, ...] | None = None) -> DataFrame:
     """``statistics`` and a column ``no_prose``: whether the text is, by more than half, no natural prose; null for null and blank texts.
 
-    Without ``names`` only the statistics that the rules ask for are computed.
+    Without ``names`` there is no ``q``, and a statistic is computed only where
+    the rules ask for it.
     """
     rules = load_rules()
-    asked = tuple(k for k in STATISTICS if names is not None and k in names or any(k == c[0] for r in rules for c in r))
+    if names is None:
+        rows, values = _prepared(df, text_col, words)
+        known = F.coalesce(F.col("__t").rlike(r"(?U)\S"), F.lit(False))
+        return _once(rows, no_prose=verdict(rules, values, known)).drop("__t", "__lines", "__n")
+    asked = tuple(k for k in STATISTICS if k in names or any(k == c[0] for r in rules for c in r))
     return statistics(df, text_col, words, asked).withColumn("no_prose", F.expr(verdict_sql(rules)))
