@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import random
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -42,11 +42,32 @@ class Sets:
     word_sound: dict[str, list[str]] = field(default_factory=dict)
 
 
+class Draws:
+    """Choices by hash: the n-th draw of a chunk is a number of 32 bits that depends on nothing but the seed, the key, the chunk and n,
+    so it is the same wherever and in whatever order rows are processed, and SQL can repeat it."""
+
+    def __init__(self, seed: int, key: object, chunk: int) -> None:
+        self.head, self.n = f"{seed}|{key}|{chunk}|", -1
+
+    def number(self) -> int:
+        self.n += 1
+        return int(hashlib.md5(f"{self.head}{self.n}".encode()).hexdigest()[:8], 16)
+
+    def random(self) -> float:
+        return self.number() / (1 << 32)
+
+    def randrange(self, n: int) -> int:
+        return self.number() % n
+
+    def choice(self, options: Sequence):
+        return options[self.number() % len(options)]
+
+
 def _is_han(token: str) -> bool:
     return "一" <= token[:1] <= "龥"
 
 
-def _pick(rng: random.Random, shares) -> str:
+def _pick(rng: Draws, shares) -> str:
     x = rng.random()
     for name, share in shares:
         x -= share
@@ -55,7 +76,7 @@ def _pick(rng: random.Random, shares) -> str:
     return shares[-1][0]
 
 
-def substitute(rng: random.Random, token: str, sets: Sets, words: bool, same_length: bool) -> str | None:
+def substitute(rng: Draws, token: str, sets: Sets, words: bool, same_length: bool) -> str | None:
     if words:
         which = _pick(rng, WORD_SETS_SAME_LENGTH if same_length else WORD_SETS)
         options = (sets.synonym if which == "synonym" else sets.word_sound).get(token, [])
@@ -66,7 +87,7 @@ def substitute(rng: random.Random, token: str, sets: Sets, words: bool, same_len
     return rng.choice(options) if options else None
 
 
-def edit_chunk(rng: random.Random, tokens: list[str], sets: Sets, words: bool, profile: Profile) -> list[str]:
+def edit_chunk(rng: Draws, tokens: list[str], sets: Sets, words: bool, profile: Profile) -> list[str]:
     """One edit at a Chinese token; without one, or without a candidate, nothing changes."""
     places = [i for i, t in enumerate(tokens) if _is_han(t) and (not words or len(t) > 1)]
     if not places:
@@ -100,10 +121,9 @@ def edit_chunk(rng: random.Random, tokens: list[str], sets: Sets, words: bool, p
 
 def augment_text(text: str, seed: int, key: object, sets: Sets, vocabulary: frozenset[str], profile: Profile) -> str:
     """The text with one edit in each chunk of ten tokens; the same for the same seed and key, whatever else is processed."""
-    rng = random.Random(f"{seed}|{key}|{text}")
-    words = rng.random() < profile.word_prob
+    words = Draws(seed, key, -1).random() < profile.word_prob
     tokens = max_match(text, vocabulary) if words else list(text)
-    return "".join("".join(edit_chunk(rng, tokens[i : i + CHUNK], sets, words, profile)) for i in range(0, len(tokens), CHUNK))
+    return "".join("".join(edit_chunk(Draws(seed, key, i // CHUNK), tokens[i : i + CHUNK], sets, words, profile)) for i in range(0, len(tokens), CHUNK))
 
 
 def augment(rows: DataFrame, key: str, text_col: str, sets: Sets, profile: Profile = GEC, vocabulary: frozenset[str] = frozenset(), seed: int = 123, min_len: int = 10) -> DataFrame:
@@ -112,7 +132,7 @@ def augment(rows: DataFrame, key: str, text_col: str, sets: Sets, profile: Profi
     A narrow, deterministic stage.  The candidate sets are bounded by
     MAX_ENTRIES before they are broadcast.
     """
-    if sum(map(len, (sets.shape, sets.char_sound, sets.synonym, sets.word_sound))) > MAX_ENTRIES:
+    if sum(1 + len(x) for s in (sets.shape, sets.char_sound, sets.synonym, sets.word_sound) for x in s.values()) > MAX_ENTRIES:
         raise ValueError("the confusion sets are too large to broadcast")
     shared = rows.sparkSession.sparkContext.broadcast((sets, vocabulary))
     kind = dict(rows.dtypes)[key]

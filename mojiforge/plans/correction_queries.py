@@ -353,21 +353,40 @@ def template_counts(spark, d):
 # --- augmentation ---------------------------------------------------------------------------------------------------------------------
 
 
-def _sets(spark, d) -> augment.Sets:
-    rows = table(spark, d, "confusion_groups").orderBy("gid").collect()
-    lists = {c: list(r.chars) for r in rows for c in r.chars}
-    return augment.Sets(shape=lists, char_sound=lists)
+def _sets(spark, d, words: bool = False) -> augment.Sets:
+    """Candidates of each character: its last group; with ``words``, of each template side: the other sides it stands with."""
+    g = table(spark, d, "confusion_groups").select("gid", F.col("chars").alias("words"))
+    last = D.word_index(g).join(g, "gid").limit(augment.MAX_ENTRIES + 1).collect()
+    lists = {r.word: list(r.words) for r in last}
+    if not words:
+        return augment.Sets(shape=lists, char_sound=lists)
+    t = table(spark, d, "correction_templates").where("length(left_text) > 1 and length(right_text) > 1")
+    sides = t.select(F.col("left_text").alias("a"), F.col("right_text").alias("b")).unionByName(t.select(F.col("right_text").alias("a"), F.col("left_text").alias("b")))
+    by = {r.key: list(r.tokens) for r in D.buckets(sides, "b", F.col("a")).limit(augment.MAX_ENTRIES + 1).collect()}
+    return augment.Sets(shape=lists, char_sound=lists, synonym=by, word_sound=by)
 
 
 @query("augment_gec")
 def augment_gec(spark, d):
-    return augment.augment(pairs(spark, d), "id", "target", _sets(spark, d), augment.Profile(word_prob=0.0))
+    """Both grains: half of the texts are edited by words."""
+    sets = _sets(spark, d, words=True)
+    return augment.augment(pairs(spark, d), "id", "target", sets, augment.GEC, frozenset(sets.synonym))
+
+
+DRAW = "('0x' || substr(md5('123|' || id || '|' || chunk || '|{n}'), 1, 8))::BIGINT"
+AUGMENTED = f"""WITH {PAIRS}, i AS (SELECT word, max(gid) AS gid FROM (SELECT gid, unnest(chars) AS word FROM confusion_groups) GROUP BY word), s AS (SELECT word, chars FROM i JOIN confusion_groups USING (gid)),
+t AS (SELECT id, target AS src, regexp_extract_all(target, '(?s).') AS ch FROM pairs WHERE {ok_sql('target')}),
+c AS (SELECT id, src, chunk, ch[chunk * 10 + 1 : chunk * 10 + 10] AS x FROM (SELECT *, unnest(range(ceil(len(ch) / 10)::BIGINT)) AS chunk FROM t)),
+p AS (SELECT *, list_filter(range(1, len(x) + 1), lambda k: x[k] >= '一' AND x[k] <= '龥') AS places FROM c),
+w AS (SELECT *, CASE WHEN len(places) > 0 THEN places[({DRAW.format(n=0)} % len(places))::BIGINT + 1] END AS spot FROM p),
+n AS (SELECT w.*, CASE WHEN chars IS NOT NULL THEN chars[({DRAW.format(n=2)} % len(chars))::BIGINT + 1] END AS fresh FROM w LEFT JOIN s ON s.word = w.x[w.spot])
+SELECT id, src, string_agg(array_to_string(list_transform(x, lambda y, k: CASE WHEN k = spot AND fresh IS NOT NULL THEN fresh ELSE y END), ''), '' ORDER BY chunk) AS aug FROM n GROUP BY id, src"""
 
 
-@query("augment_csc", f"WITH {PAIRS} SELECT id, length(target) AS n FROM pairs WHERE {ok_sql('target')}")
+@query("augment_csc", AUGMENTED)
 def augment_csc(spark, d):
-    """Replacements of one length keep each text's length."""
-    return augment.augment(pairs(spark, d), "id", "target", _sets(spark, d), augment.Profile(0.0, "replace", True)).select("id", F.char_length("aug").cast("long").alias("n"))
+    """One replacement of the same length in every chunk of ten characters."""
+    return augment.augment(pairs(spark, d), "id", "target", _sets(spark, d), augment.Profile(0.0, "replace", True))
 
 
 # --- taggers --------------------------------------------------------------------------------------------------------------------------
