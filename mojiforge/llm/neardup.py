@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mojiforge.llm.overlap import KeyFilter, key_filter
 from mojiforge.llm.textforms import compact, unpoints
 from mojiforge.session import settle
 
 SEGMENTS, WIDTH, GRAM = 12, 4, 5
 BLOCK = 1 << 16
-FILTER_BITS = 1 << 23
 
 
 def gram_hashes(a: np.ndarray, n: int = GRAM) -> np.ndarray:
@@ -130,45 +130,18 @@ def _alike(least: int):
     return run
 
 
-def _texts(bits):
+def _texts(wanted):
     """(id, text) to (id, compact text) of ids that may be in the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(bits.value, np.uint8)
+        only = KeyFilter(wanted.value)
         for batch in batches:
-            place = place_of(batch.column(0).to_numpy(zero_copy_only=False))
-            keep = (table[place >> 3] >> (place & 7).astype(np.uint8)) & 1
-            batch = batch.filter(pa.array(keep.astype(bool)))
+            batch = batch.filter(pa.array(only.has(batch.column(0).to_numpy(zero_copy_only=False))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([unpoints(compact(x)) for x in batch.column(1).to_pylist()], pa.string())], ["id", "text"])
 
     return run
 
 
-def place_of(ids: np.ndarray) -> np.ndarray:
-    h = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((h >> np.uint64(20)) % np.uint64(FILTER_BITS)).astype(np.int64)
-
-
-def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table = np.zeros(FILTER_BITS, bool)
-    for batch in batches:
-        table[place_of(batch.column(0).to_numpy(zero_copy_only=False))] = True
-    yield pa.RecordBatch.from_arrays([pa.array([np.packbits(table, bitorder="little").tobytes()], pa.binary())], ["bits"])
-
-
-def id_filter(ids: DataFrame, tasks: int = 8):
-    """A broadcast Bloom filter of fixed size (1 MiB) over a column of ids.
-
-    However many ids there are, its size stays; a full filter only lets more
-    rows through to the exact join after it.
-    """
-    parts = ids.coalesce(tasks).mapInArrow(_bits, "bits binary").collect()
-    whole = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in parts:
-        whole |= np.frombuffer(r.bits, np.uint8)
-    return ids.sparkSession.sparkContext.broadcast(whole.tobytes())
-
-
 def _jaccard(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: dict[str, set] = {}
@@ -224,7 +197,8 @@ def near_duplicate_classes(df: DataFrame, id_col: str, text_col: str, threshold:
     )
     near = settle(near)
     needed = near.select(F.explode(F.array("a", "b")).alias("id"))
-    texts = rows.mapInArrow(_texts(id_filter(needed)), "id long, text string")
+    wanted = df.sparkSession.sparkContext.broadcast(key_filter(needed))  # of one size; a full one only lets more rows through to the join
+    texts = rows.mapInArrow(_texts(wanted), "id long, text string")
     texts = settle(texts.join(needed.distinct(), "id", "left_semi"))
     links = (
         near.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
