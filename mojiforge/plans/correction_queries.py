@@ -318,11 +318,13 @@ def labels_to_edits(spark, d):
     return e.select("gid", F.col("e.start").cast("long").alias("start"), (F.col("e.end") - F.col("e.start")).cast("long").alias("width"))
 
 
-@query("edits_to_labels", "SELECT gid, len(chars)::BIGINT + 1 AS places, len(chars)::BIGINT // 2 AS edited FROM confusion_groups")
+@query("edits_to_labels", "SELECT gid, array_to_string(list_transform(range(len(chars) + 1), lambda j: CASE WHEN j >= 2 AND j % 2 = 0 THEN '$DELETE+$APPEND_' || (j // 2) ELSE '$KEEP' END), ' ') AS labels FROM confusion_groups")
 def edits_to_labels(spark, d):
-    found = F.transform(F.sequence(F.lit(1), F.floor(F.size("chars") / 2).cast("int")), lambda i: F.struct((2 * i - 1).cast("int").alias("start"), (2 * i).cast("int").alias("end"), F.array(F.lit("$DELETE")).alias("ops")))
+    """Every second token is deleted and followed by another; all label lists as one line."""
+    ops = lambda i: F.array(F.lit("$DELETE"), F.concat(F.lit("$APPEND_"), i.cast("string")))
+    found = F.transform(F.sequence(F.lit(1), F.greatest(F.floor(F.size("chars") / 2).cast("int"), F.lit(1))), lambda i: F.struct((2 * i - 1).cast("int").alias("start"), (2 * i).cast("int").alias("end"), ops(i).alias("ops")))
     labels = align.edits_to_labels(F.size("chars"), found)
-    return table(spark, d, "confusion_groups").select("gid", F.size(labels).cast("long").alias("places"), F.size(F.filter(labels, lambda x: x == F.array(F.lit("$DELETE")))).cast("long").alias("edited"))
+    return table(spark, d, "confusion_groups").select("gid", F.array_join(F.transform(labels, lambda x: F.array_join(x, "+")), " ").alias("labels"))
 
 
 @query("apply_tags", f"WITH {PAIRS} SELECT id, array_to_string(list_transform(regexp_extract_all(source, '(?s).'), lambda c, i: CASE WHEN i % 5 = 0 THEN '' WHEN i % 5 = 1 THEN 'X' WHEN i % 5 = 2 THEN c || 'Y' WHEN i % 5 = 3 THEN c ELSE '' END), '') AS made FROM pairs WHERE source <> ''")
@@ -427,10 +429,17 @@ def label_smoothing_loss(spark, d):
     return _logits(spark, d).agg(F.round(F.avg(metrics.smoothed_loss(F.col("x"), F.col("label"))), 5).alias("loss"))
 
 
-@query("iterative_correct")
+def _once(x: str) -> str:
+    return f"CASE WHEN contains({x}, '再') THEN regexp_replace({x}, '再', '在') WHEN contains({x}, '的的') THEN regexp_replace({x}, '的的', '的') WHEN contains({x}, '在在') THEN regexp_replace({x}, '在在', '在') ELSE {x} END"
+
+
+ROUNDS = f"WITH a AS (SELECT concat_ws('|', run_name, id::VARCHAR, strftime(submitted_at, '%Y-%m-%d %H:%M:%S.%f')) AS key, inference AS x FROM submission), b AS (SELECT *, {_once('x')} AS y FROM a), c AS (SELECT *, {_once('y')} AS z FROM b), e AS (SELECT *, {_once('z')} AS corrected FROM c)"
+
+
+@query("iterative_correct", ROUNDS + " SELECT key, corrected, coalesce((x <> y)::INT + (y <> z)::INT + (z <> corrected)::INT, 0) AS n_rounds FROM e")
 def iterative_correct(spark, d):
     tagger = tagging.rule_tagger([("再", "在"), ("的的", "的"), ("在在", "在")])
-    return tagging.correct_until_stable(table(spark, d, "submission").withColumn("key", F.concat_ws("|", "run_name", "id", "submitted_at")), "key", "inference", tagger, 3)
+    return tagging.correct_until_stable(table(spark, d, "submission").withColumn("key", F.concat_ws("|", "run_name", "id", F.date_format("submitted_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))), "key", "inference", tagger, 3)
 
 
 # --- similarity -----------------------------------------------------------------------------------------------------------------------

@@ -271,10 +271,19 @@ def case_transforms(spark, d):
     return table(spark, d, "customer").select("c_custkey", x("$TRANSFORM_CASE_UPPER").alias("upper_name"), x("$TRANSFORM_CASE_LOWER").alias("lower_name"), x("$TRANSFORM_CASE_CAPITAL").alias("capital"), x("$TRANSFORM_SPLIT_HYPHEN").alias("split"), x("$TRANSFORM_AGREEMENT_PLURAL").alias("plural"))
 
 
-@query("case_detectors", "SELECT n_nationkey, CASE WHEN lower(n_name) = n_name THEN '$TRANSFORM_CASE_LOWER' ELSE '$TRANSFORM_CASE_CAPITAL' END AS label FROM nation WHERE lower(substr(n_name, 2)) <> substr(n_name, 2) OR length(n_name) > 1")
+CASED = "w AS (SELECT p_partkey, string_split(p_name, ' ')[1] || 'x' AS s FROM part)"
+
+
+@query("case_detectors", f"WITH {CASED} SELECT p_partkey, [NULL, '$TRANSFORM_CASE_UPPER', '$TRANSFORM_CASE_CAPITAL', '$TRANSFORM_CASE_CAPITAL_1', '$TRANSFORM_CASE_UPPER_-1', NULL, NULL][p_partkey % 7 + 1] AS label, [NULL, NULL, NULL, NULL, NULL, '$TRANSFORM_AGREEMENT_PLURAL', '$TRANSFORM_AGREEMENT_SINGULAR'][p_partkey % 7 + 1] AS plural FROM w WHERE p_partkey % 7 > 0 AND length(s) > 2")
 def case_detectors(spark, d):
-    n = F.col("n_name")
-    return table(spark, d, "nation").where("length(n_name) > 1").select("n_nationkey", T.case_label(n, T.capitalize(n)).alias("label"))
+    """The transform that makes the second form of the first one, with forms made in six ways."""
+    s = F.concat(F.split("p_name", " ", -1)[0], F.lit("x"))
+    rows = table(spark, d, "part").select("p_partkey", s.alias("s")).where("p_partkey % 7 > 0 and length(s) > 2")
+    n, s = F.char_length("s"), F.col("s")
+    made = [s, F.upper(s), T.capitalize(s), F.concat(F.substring("s", 1, 1), T.capitalize(F.substring(s, 2, 1 << 30))), F.concat(F.upper(F.substring(s, F.lit(1), n - 1)), F.substring(s, n, F.lit(1))), F.concat(s, F.lit("s")), s]
+    target = F.get(F.array(*made), F.pmod("p_partkey", F.lit(7)).cast("int"))
+    source = F.when(F.col("p_partkey") % 7 == 6, F.concat(s, F.lit("s"))).otherwise(s)
+    return rows.select("p_partkey", T.case_label(source, target).alias("label"), T.plural_label(source, target).alias("plural"))
 
 
 @query("trim_strip_sets", "SELECT template_id, ltrim(left_text || right_text, left_text) AS left_strip, rtrim(left_text || right_text, right_text) AS right_strip FROM correction_templates WHERE length(left_text) > 0 AND length(right_text) > 0")
