@@ -214,4 +214,4 @@ def test_leakage_between_splits(spark, tmp_path):
     ratio = lambda a, b: round(2 * (Counter(a) & Counter(b)).total() / len(a + b), 6)
     known = {x for x in rows if x[0] is not None and x[1] is not None}
     want = sorted((-ratio(a[1], b[1]), a[0], b[0]) for a in known for b in known if a[2] in ("val", "test") and a[0] % 100 == 0 and b[2] == "train")[:10]
-    assert [(-r.ratio, r.a_id, r.b_id) for r in catalogue.QUERIES["leakage_splits"](spark, str(tmp_path)).collect()] == want
+    assert [(-r.ratio, r.a_id, r.b_id) for r in catalogue.QUERIES["leakage_top10"](spark, str(tmp_path)).collect()] == want
