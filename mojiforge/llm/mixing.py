@@ -10,6 +10,8 @@ targets.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +31,7 @@ def rake(tokens: np.ndarray, share: np.ndarray, cap: np.ndarray, rounds: int = 2
     cap allows, and the total falls short by what it lacks.  Languages and topics are raked to their natural shares as
     far as the caps allow; the last step of each round restores the sources'
     shares by spreading what the cap cuts off over the source's other cells.
+    Margins that the caps make impossible leave it moving; then it warns.
     """
     total = tokens.sum()
     own = tokens.sum((1, 2))
@@ -60,8 +63,10 @@ def rake(tokens: np.ndarray, share: np.ndarray, cap: np.ndarray, rounds: int = 2
         now = (w * tokens).sum((0, 1))
         w = w * np.divide(topic, now, out=np.ones_like(now), where=now > 0)[None, None, :]
         w = to_sources(w)
-        if np.abs(w - before).max() < tolerance:
+        if (moved := np.abs(w - before).max()) < tolerance:
             break
+    else:
+        warnings.warn(f"the mix has not converged after {rounds} rounds: uses still move by {moved:.2g}", stacklevel=2)
     return w
 
 

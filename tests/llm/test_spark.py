@@ -263,3 +263,23 @@ def test_cut_word_of_a_spaced_script(spark):
     rows += [(1000, "s", "\n".join([line(), line(), "The kettle was near the tapes"])), (1001, "s", "\n".join([line(), line(), "The kettle was near the tapestry"]))]
     df = spark.createDataFrame(rows, "id long, source string, text string")
     assert {r.id for r in truncation.cut_off(df, "id", "source", "text", WORDS).collect()} == {1000}
+
+
+@pytest.mark.parametrize("partitions", ["1", "40"])
+def test_cross_split_of_common_phrases(spark, partitions):
+    """Phrases that a third of all texts hold, any number of buckets: what brute force finds."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    rng = random.Random(12)
+    signs = [chr(0x4E00 + i) for i in range(400)]
+    some = lambda n: "".join(rng.choice(signs) for _ in range(n))
+    head, tail = "本报记者从现场发来报道称", "以上内容由读者提供仅供参考"
+    rows = [(i, 0, 0, (head if i % 3 == 0 else "") + some(50) + (tail if i % 3 == 1 else "")) for i in range(400)]
+    rows += [(5000 + i, 1, 0, t[:20] + some(3) + t[23:] + ("。" if i % 2 else "")) for i, t in enumerate(r[3] for r in rows[:60])]
+    try:
+        df = spark.createDataFrame(rows, "id long, side int, field int, text string")
+        got = {tuple(r) for r in overlap.cross_split_pairs(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    counts = {r[0]: overlap.pair_counts(r[3]) for r in rows}
+    assert got == {(a[0], b[0]) for a in rows if a[1] for b in rows if not b[1] and overlap.dice(counts[a[0]], counts[b[0]]) >= 0.6}
