@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mojiforge.functions.text import is_sentence_ok
+from mojiforge.operators.align import align_labels
 from mojiforge.operators.dictionaries import line_ids
+from mojiforge.operators.segment import character_ids, sentinel
 
 EDGE_ROWS = 100_000
 BLOCK_CHARS = 1 << 22
@@ -181,6 +183,27 @@ def best_so_far(scores: list[float], patience: int) -> tuple[int, float]:
     return len(scores), best
 
 
+def training_examples(pairs: DataFrame, key: str, labels: DataFrame, tokens: DataFrame, max_len: int = 128, sign: str = "始", ignored: int = -100) -> DataFrame:
+    """(key, input_ids, attention_mask, tags) of ``pairs(key, source, target)``, all of ``max_len`` places.
+
+    ``labels(label, label_id)`` and ``tokens(token, id)`` are the vocabularies;
+    ``labels`` holds [REPLACE_UNK], [APPEND_UNK] and $KEEP, which unknown
+    labels of each family fall back to.  The source gets a start sign and is
+    cut to what fits between the special places; these and the padding have
+    the ignored tag.  Null sides make no example; keys must be unique.
+    """
+    rows = pairs.where("source is not null and target is not null").select(key, "source", "target", sentinel(F.col("source"), sign, max_len).alias("text"))
+    each = rows.select(key, F.char_length("text").alias("n"), F.posexplode(align_labels(F.col("source"), F.col("target"))).alias("pos", "label")).where("pos < n")
+    family = F.when(F.startswith("label", F.lit("$REPLACE")), "[REPLACE_UNK]").when(F.startswith("label", F.lit("$APPEND")), "[APPEND_UNK]").otherwise("$KEEP")
+    known = each.join(labels.select("label", "label_id"), "label", "left")
+    other = labels.select(F.col("label").alias("__family"), F.col("label_id").alias("__other")).where(F.col("__family").isin("[REPLACE_UNK]", "[APPEND_UNK]", "$KEEP"))
+    known = known.withColumn("__family", family).join(other, "__family", "left").withColumn("label_id", F.coalesce("label_id", "__other").cast("int"))
+    tags = known.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "label_id"))), lambda x: x["label_id"]).alias("tags"))
+    blank = F.lit(ignored)
+    padded = F.concat(F.array(blank), "tags", F.array_repeat(blank, F.lit(max_len) - 1 - F.size("tags")))
+    return character_ids(rows, key, "text", tokens, max_len).join(tags.select(key, padded.alias("tags")), key)
+
+
 # Kinds of error of the solution files.
 DELETED, WRONG, MISSING, SKIPPED = ("冗余", "语义重复"), ("别字",), ("缺失",), ("句式杂糅", "乱序")
 

@@ -302,13 +302,13 @@ def legacy_labels(spark, d):
 
 @query("training_example")
 def training_example(spark, d):
-    """Source characters with their label ids: unknown labels take their family's id."""
+    """Input ids, mask and tags of every pair by vocabularies of the corpus: labels and characters that occur three times."""
     p = pairs(spark, d)
-    source = segment.sentinel(F.col("source"), "始", 128)
-    rows = p.select("id", F.posexplode(align.align_labels(F.col("source"), F.col("target"))).alias("pos", "label"), F.char_length(source).alias("n"))
-    v = D.frequencies(rows, "label", 3).select("token", F.xxhash64("token").alias("label_id"))
-    unknown = F.when(F.col("label").startswith("$REPLACE"), 1).when(F.col("label").startswith("$APPEND"), 2).otherwise(3).cast("long")
-    return D.with_default(rows, "label", v, "token", "label_id", unknown).where("pos < n").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "label_id"))), lambda x: x["label_id"]).alias("tags"))
+    found = D.frequencies(p.select(F.explode(align.align_labels(F.col("source"), F.col("target"))).alias("label")), "label", 3).where("token <> '$KEEP'")
+    special = spark.createDataFrame([(0, "$KEEP"), (1, "[REPLACE_UNK]"), (2, "[APPEND_UNK]")], "label_id long, label string")
+    labels = D.line_ids(found.select(F.col("token").alias("label")), ["label"]).select((F.col("line") + 3).alias("label_id"), "label").unionByName(special)
+    chars = D.line_ids(D.frequencies(_chars(spark, d), "token", 3).select("token"), ["token"]).select("token", (F.col("line") + 4).cast("int").alias("id"))
+    return datasets.training_examples(p, "id", labels, chars)
 
 
 @query("labels_to_edits", "SELECT gid, unnest(range(len(chars))) AS start, 1::BIGINT AS width FROM confusion_groups")

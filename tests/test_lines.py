@@ -69,3 +69,34 @@ def test_most_similar_is_brute_force(spark):
         got = [(-r.ratio, r.a_id, r.b_id) for r in datasets.most_similar(left, right, 10, chars).collect()]
         assert got == want
     assert datasets.most_similar(left.limit(0), right).count() == 0
+
+
+def test_training_examples(spark):
+    pairs = spark.createDataFrame([(1, "今天天气真错", "今天天气真不错"), (2, "爱你", "我爱你"), (3, None, "x"), (4, "", ""), (5, "真天气" + "错天" * 20, "对天气" + "错天" * 20)], "id long, source string, target string")
+    labels = spark.createDataFrame([("$KEEP", 0), ("[REPLACE_UNK]", 1), ("[APPEND_UNK]", 2), ("$APPEND_不", 3)], "label string, label_id long")
+    tokens = spark.createDataFrame([(c, i) for i, c in enumerate("始今天气真错", 4)], "token string, id int")
+    got = {r.id: (r.input_ids, r.attention_mask, r.tags) for r in datasets.training_examples(pairs, "id", labels, tokens, 12).collect()}
+    assert got[1] == ([2, 4, 5, 6, 6, 7, 8, 9, 3, 0, 0, 0], [1] * 9 + [0] * 3, [-100, 0, 0, 0, 0, 0, 3, 0] + [-100] * 4)
+    assert got[2] == ([2, 4, 1, 1, 3] + [0] * 7, [1] * 5 + [0] * 7, [-100, 2, 0, 0] + [-100] * 8)
+    assert 3 not in got and len(got[5][2]) == 12 and got[5][2][1:3] == [0, 1]
+
+
+def test_predictor_and_decoding(spark):
+    from mojiforge.operators import tagging
+
+    rows = spark.createDataFrame([(1, ["甲", "乙"], [[9.0, 0.0], [0.0, 1.0], [2.0, 0.0]], [[9.0, 0.0], [0.0, 1.0], [0.0, 2.0]])], "id long, tokens array<string>, a array<array<double>>, b array<array<double>>")
+    tags = spark.createDataFrame([(0, "$KEEP"), (1, "$DELETE")], "id int, tag string")
+    got = [(r.pos, r.token, r.tag) for r in tagging.predict(rows, "id", "tokens", ["a", "b"], tags).orderBy("pos").collect()]
+    assert got == [(0, "甲", "$DELETE"), (1, "乙", "$KEEP")]  # equal probabilities: the smaller id
+    biased = [r.tag for r in tagging.predict(rows, "id", "tokens", ["a", "b"], tags, bias=0.9).orderBy("pos").collect()]
+    assert biased == ["$KEEP", "$KEEP"]
+    ids = spark.createDataFrame([(0,), (-100,), (7,)], "label int")
+    assert {r.label: r.tag for r in tagging.decode_labels(ids, "label", tags).collect()} == {0: "$KEEP", -100: "-100", 7: None}
+
+
+def test_unknown_transform_fails(spark):
+    from mojiforge.functions import text as T
+
+    df = spark.createDataFrame([("a", "$TRANSFORM_CASE_NONE")], "t string, l string")
+    with pytest.raises(Exception, match="unknown transform"):
+        df.select(T.transform_token(F.col("t"), F.col("l"))).collect()
