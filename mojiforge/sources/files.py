@@ -133,12 +133,11 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def _bracketed(opening: str, closing: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = opening
+        held, comma = opening, ""
         for batch in batches:
-            lines = [held, *(x + "," for x in batch.column(0).to_pylist())]
-            if len(lines) > 1:
-                held = lines.pop()[:-1]
-                yield pa.RecordBatch.from_arrays([pa.array(lines)], ["value"])
+            if lines := batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([held + comma, *(x + "," for x in lines[:-1])], pa.string())], ["value"])
+                held, comma = lines[-1], ","  # of the last line so far only the next batch tells whether another one follows
         yield pa.RecordBatch.from_arrays([pa.array([held, closing])], ["value"])
 
     return run

@@ -100,3 +100,20 @@ def test_unknown_transform_fails(spark):
     df = spark.createDataFrame([("a", "$TRANSFORM_CASE_NONE")], "t string, l string")
     with pytest.raises(Exception, match="unknown transform"):
         df.select(T.transform_token(F.col("t"), F.col("l"))).collect()
+
+
+@pytest.fixture
+def small_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10")
+    yield
+    spark.conf.set(key, before)
+
+
+@pytest.mark.parametrize("n", [0, 1, 10, 11, 95])
+def test_pairs_of_several_batches_by_suffix(spark, small_batches, tmp_path, n):
+    rows = [(i, f"错{i}\",", None if i % 7 == 0 else f"对{i}") for i in range(n)]
+    path = str(tmp_path / "a.json")
+    files.write_json_arrays(spark.createDataFrame(rows, "id long, source string, target string").coalesce(1), path, ["id"])
+    assert sorted(tuple(r) for r in files.read_pairs(spark, path).collect()) == sorted(r[1:] for r in rows)
