@@ -117,3 +117,13 @@ def test_pairs_of_several_batches_by_suffix(spark, small_batches, tmp_path, n):
     path = str(tmp_path / "a.json")
     files.write_json_arrays(spark.createDataFrame(rows, "id long, source string, target string").coalesce(1), path, ["id"])
     assert sorted(tuple(r) for r in files.read_pairs(spark, path).collect()) == sorted(r[1:] for r in rows)
+
+
+def test_pairs_and_dictionaries_of_several_batches(spark, small_batches, tmp_path):
+    pairs = [(i, f"错{i}", f"对{i}" if i % 5 else None, "positive" if i % 3 else None) for i in range(95)]
+    path = str(tmp_path / "pairs")
+    files.write_json_arrays(spark.createDataFrame(pairs, files.PAIR).coalesce(1), path, ["id"])
+    assert {tuple(r) for r in files.read_pairs_json(spark, path).collect()} == {*pairs}
+    entries = spark.createDataFrame([(f"字{i}", i) for i in range(95)], "key string, value long").coalesce(1)
+    files.write_dictionary(entries, str(tmp_path / "entries"))
+    assert {r.key: r.value for r in files.read_dictionary(spark, str(tmp_path / "entries")).collect()} == {f"字{i}": i for i in range(95)}
